@@ -33,15 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def few_files(df: DataFrame, waves: int = 4) -> DataFrame:
+    """Read what a shuffle dealt out in ``waves`` tasks a core at most.
+
+    For narrow results of aggregates and joins: many small files cost more than
+    they help. Each task takes several shuffle partitions one after the other, so
+    the memory it needs stays that of one partition.
+    """
+    return df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def materialize(df: DataFrame, tag: str, gathered: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends at files.
 
     Unlike cached blocks the files outlive any executor, and what is read back
-    has one fixed content however often later stages are retried.
+    has one fixed content however often later stages are retried. ``gathered``:
+    narrow rows that come out of a shuffle, written in few files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (few_files(df, 1) if gathered else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

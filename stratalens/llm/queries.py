@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_text, langid, mixing, secrets, warc
-from .common import crc_remainder, table
+from .common import crc_remainder, few_files, table
 
 
 def tokenizer_path() -> str:
@@ -46,7 +46,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = warc.round_trip(pages)
     answer = F.col("warc_type") == "response"
-    return found.select(
+    return few_files(found).select(
         F.element_at("metadata.fields", "source-id").cast("long").alias("page_id"),
         F.when(answer, F.octet_length("payload")).otherwise(F.col("http_length")).cast("long").alias("payload_bytes"),
         F.when(answer, warc.base32_sha1(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_id, shared_dir
+from .common import materialize, row_id, shared_dir
 
 CRLF = "\r\n"
 #: Digits of radix 32 and of base 32.
@@ -74,7 +74,8 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("key", F.unhex(F.concat(F.sha1(F.col("html").cast("binary")), F.md5(F.col("html").cast("binary"))))).withColumn("n", F.octet_length("html").cast("long"))
     best = F.max(F.struct(F.col("id").isNotNull(), "id", "row")).alias("best")
     repeated = rows.where(F.col("n") >= least).groupBy("key").agg(best, F.count("*").alias("copies")).where("copies > 1")
-    repeated = repeated.select(F.col("key").alias("copied"), F.col("best.id").alias("first_id"), F.col("best.row").alias("first_row"))
+    # written out, its size is known: a small side is broadcast, a large one meets rows that can be split by key
+    repeated = materialize(repeated.select(F.col("key").alias("copied"), F.col("best.id").alias("first_id"), F.col("best.row").alias("first_row")), "warc-repeated", gathered=True)
     joined = rows.join(repeated, (F.col("key") == F.col("copied")) & (F.col("n") >= least), "left")
     again = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
     name = record_uri("capture", F.col("id"), F.col("row"))
@@ -206,8 +207,9 @@ def assemble(captures: DataFrame, notes: DataFrame) -> DataFrame:
     Request and metadata records are first reduced to one row per capture they
     name (of several of a kind, that of smallest record id counts), so the join
     adds no rows. Captures without them have nulls there; notes that name no
-    capture are left out. Revisits get ``original``: the fields of the record they
-    refer to, null if that is not in the archives.
+    capture are left out. Revisits get ``original``: address and source id of the
+    capture they refer to, as its notes have them, null if there are none. Only
+    revisits, which carry no payload, take part in that join.
     """
     side = notes.where(F.col("warc_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
 
@@ -215,15 +217,21 @@ def assemble(captures: DataFrame, notes: DataFrame) -> DataFrame:
         held = F.struct("record_id", "target_uri", F.map_entries("fields").alias("fields"))
         return F.min(F.when(F.col("warc_type") == kind, held)).alias(kind)
 
-    side = side.groupBy(F.col("concurrent_to").alias("capture")).agg(of("request"), of("metadata"))
-    own = captures.where(F.col("warc_type").isin("response", "revisit")).drop("concurrent_to")
-    nested = own.join(side, own["record_id"] == side["capture"], "left").drop("capture")
+    side = materialize(side.groupBy(F.col("concurrent_to").alias("capture")).agg(of("request"), of("metadata")), "warc-notes", gathered=True)
     fields = F.map_from_entries(F.col("metadata.fields"))
-    nested = nested.withColumn("metadata", F.when(F.col("metadata").isNotNull(), F.struct(F.col("metadata.record_id").alias("record_id"), fields.alias("fields"))))
-    ids = side.select(F.col("capture"), F.element_at(F.map_from_entries(F.col("metadata.fields")), "source-id").cast("long").alias("source_id"))
-    named = captures.where(F.col("warc_type") == "response").select(F.col("record_id").alias("capture"), F.col("target_uri").alias("original_uri"))
-    ids = named.join(ids, "capture", "left").select(F.col("capture").alias("original_id"), F.struct(F.col("original_uri").alias("target_uri"), "source_id").alias("original"))
-    return nested.join(ids, F.col("refers_to") == F.col("original_id"), "left").drop("original_id")
+    request = F.when(F.col("request").isNotNull(), F.struct(F.col("request.record_id").alias("record_id"), F.col("request.target_uri").alias("target_uri")))
+    metadata = F.when(F.col("metadata").isNotNull(), F.struct(F.col("metadata.record_id").alias("record_id"), fields.alias("fields")))
+    side = side.select("capture", request.alias("request"), metadata.alias("metadata"))
+    original = F.struct(F.coalesce("request.target_uri", F.lit(None)).alias("target_uri"), F.element_at("metadata.fields", "source-id").cast("long").alias("source_id"))
+    referred = side.select(F.col("capture").alias("original_id"), original.alias("original"))
+
+    def nested(kind: str) -> DataFrame:
+        own = captures.where(F.col("warc_type") == kind).drop("concurrent_to")
+        return own.join(side, own["record_id"] == side["capture"], "left").drop("capture")
+
+    responses, revisits = nested("response"), nested("revisit")
+    revisits = revisits.join(referred, F.col("refers_to") == F.col("original_id"), "left").drop("original_id")
+    return responses.unionByName(revisits, allowMissingColumns=True)
 
 
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
