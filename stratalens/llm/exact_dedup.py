@@ -43,12 +43,16 @@ def exact_dedup(
     docs = df.select(F.col(f"`{id_col}`").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm")).withColumn("row_id", row_id())
     hashed = docs.withColumn("h", key(F.col("norm")))
     rows = materialize(hashed.select("row_id", "id", "h", F.sha2("norm", 256).alias("sha")), "dedup-rows")
+    # collisions and groups are written out: their size is then known, so they are broadcast only if small,
+    # and else the rows they join are dealt by key anew, where large keys can be split
     collided = hashed.groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("split"))
-    rows = rows.join(collided, "h", "left").withColumn("part", F.when(F.col("split"), F.col("sha")).otherwise(F.lit("")))
+    collided = materialize(collided, "dedup-collided", gathered=True)
+    split = F.when(F.col("split"), F.unhex("sha")).otherwise(F.unhex(F.lit("")))
+    rows = rows.join(collided, "h", "left").withColumn("part", F.concat("h", split))
     order = F.struct(F.col("id").isNotNull(), "id", "row_id") if keep == "max" else F.struct(F.col("id").isNull(), "id", "row_id")
-    groups = rows.groupBy("h", "part").agg((F.max if keep == "max" else F.min)(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("h", "part", F.col("best.id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "n")
-    joined = rows.join(groups, ["h", "part"], "left")
+    groups = rows.groupBy("part").agg((F.max if keep == "max" else F.min)(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.select("part", F.col("best.id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "n"), "dedup-groups", gathered=True)
+    joined = rows.join(groups, "part", "left")
     alone = F.col("n").isNull()
     return joined.select(
         "row_id",

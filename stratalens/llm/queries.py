@@ -29,7 +29,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max").drop("row_id")
+    return few_files(exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max").drop("row_id"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
