@@ -151,7 +151,7 @@ def nearest(
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     facts = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(square).alias("most"), F.count_if(F.col("id") % every == 0).alias("q"))
     facts = facts.select("d", F.sqrt("most").alias("radius"), F.ceil(F.col("n") * F.col("d") / components).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("q") / query_block), F.lit(1)).cast("int").alias("qblocks"))
-    known = rows.join(materialize(facts, "ann-facts"), "d")  # one row for each vector length, read back with its size known
+    known = rows.join(materialize(facts, "ann-facts", gathered=True), "d")  # one row for each vector length, read back with its size known
     queries = known.where(F.col("id") % every == 0).withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("qblocks").cast("long")))
     own = known.withColumn("i", F.pmod(F.xxhash64(F.lit(seed + 1), "row"), F.col("blocks").cast("long"))).withColumn("j", F.explode(F.expr("sequence(0L, qblocks - 1L)")))
     asked = queries.withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1L)")))

@@ -129,7 +129,7 @@ def mix(
     )
     rows = materialize(rows.withColumn("h", hashed(F.col("id"), seed)).withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(buckets)).cast("int")), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    goal = materialize(targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), weights, share, cap), "mix-sources")
+    goal = materialize(targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), weights, share, cap), "mix-sources", gathered=True)
     in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("held").over(in_order), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
     within = Window.partitionBy("source", "bucket").orderBy("h", "id", "row_id").rowsBetween(Window.unboundedPreceding, -1)

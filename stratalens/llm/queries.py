@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_text, langid, mixing, secrets, warc
+from . import ann, bpe, exact_dedup, hmm_lm, html_text, langid, mixing, secrets, warc
 from .common import crc_remainder, few_files, table
 
 
@@ -56,17 +56,21 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+    return few_files(mixing.taken(mixing.mix(table(spark, sf_dir, "documents"))))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(hmm_lm.score(table(spark, sf_dir, "documents")))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = few_files(secrets.scan(table(spark, sf_dir, "documents")))
     count = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
     return found.select("doc_id", *count, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"))
+    return few_files(ann.nearest(table(spark, sf_dir, "embeddings")))
 
 
 OP2_SQL = """
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_lm_score": op7_lm_score,
     "op9_secrets": op9_secrets,
     "op10_nearest": op10_nearest,
 }
