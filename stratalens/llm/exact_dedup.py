@@ -66,5 +66,5 @@ def exact_dedup(
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``df``, with all their columns, that :func:`exact_dedup` keeps."""
-    gone = exact_dedup(df, id_col, text_col, keep).where(~F.col("kept")).select(F.col("row_id").alias("__row"))
+    gone = materialize(exact_dedup(df, id_col, text_col, keep).where(~F.col("kept")).select(F.col("row_id").alias("__row")), "dedup-gone", gathered=True)
     return df.withColumn("__row", row_id()).join(gone, "__row", "left_anti").drop("__row")

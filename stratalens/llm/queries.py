@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, hmm_lm, html_text, langid, mixing, secrets, warc
+from . import ann, bpe, exact_dedup, hmm_lm, html_text, langid, mixing, near_dup, secrets, warc
 from .common import crc_remainder, few_files, table
 
 
@@ -63,6 +63,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(hmm_lm.score(table(spark, sf_dir, "documents")))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("row_id"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = few_files(secrets.scan(table(spark, sf_dir, "documents")))
     count = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
     "op7_lm_score": op7_lm_score,
+    "op8_near_dup": op8_near_dup,
     "op9_secrets": op9_secrets,
     "op10_nearest": op10_nearest,
 }
