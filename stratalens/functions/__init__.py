@@ -1 +1 @@
-
+"""Scalar functions: references, sizes, errors, digests, codecs, signatures."""

@@ -1 +1 @@
-
+"""Operators over images, layers, fingerprints and archives as DataFrames."""
