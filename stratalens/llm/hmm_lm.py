@@ -66,10 +66,23 @@ class Classes:
 
 
 def make_classes(counts: DataFrame, ends: int, own: int, rest: int, known: int, longest: int = 64) -> Classes:
-    """Classes from the corpus counts. The driver gets ``known`` words of at most ``longest`` bytes and ``rest`` sums."""
-    top = counts.where(F.octet_length("word") <= longest).orderBy(F.desc("c"), "word").limit(known).collect()
-    names = [bytes(r.word) for r in top]
-    values = np.array([r.c for r in top], dtype=np.float64)
+    """Classes from the corpus counts. The driver gets ``known`` words of at most ``longest`` bytes and ``rest`` sums.
+
+    Which words those are is read off a histogram of counts in 16 steps to each
+    power of two: the lowest step above which at most ``known`` words lie. So no task
+    sorts the vocabulary.
+    """
+    short = counts.where(F.octet_length("word") <= longest).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    steps = sorted(((r.step, r.n) for r in short.groupBy("step").agg(F.count("*").alias("n")).collect()), reverse=True)
+    above = [step for (step, _), total in zip(steps, np.cumsum([n for _, n in steps]), strict=True) if total <= known]
+    if above:
+        top = short.where(F.col("step") >= above[-1]).select("word", "c").toArrow()
+        pairs = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    else:
+        pairs = []
+    names = [w for _, w in pairs]
+    values = np.array([c for c, _ in pairs], dtype=np.float64)
+    del pairs
     own = min(own, len(names))
     # same place as rest_class
     place = F.pmod(F.crc32(F.when(F.octet_length("word") > 3, F.expr("substring(word, octet_length(word) - 2, 3)")).otherwise(F.col("word"))), F.lit(rest)).cast("int").alias("place")
@@ -257,9 +270,13 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, first_ro
     if not first:
         return hmm
     rows, lengths = stretches(first)
-    for _ in range(first_rounds):
-        hmm = maximise(*expected(hmm, rows, lengths), unigram, prior)
     shapes = ((states,), (states, states), (states, c))
+    for _ in range(first_rounds):
+        sums = [np.zeros(s) for s in shapes]
+        for at in range(0, len(rows), 2048):
+            for total, more in zip(sums, expected(hmm, rows[at : at + 2048], lengths[at : at + 2048]), strict=True):
+                total += more
+        hmm = maximise(*sums, unigram, prior)
     for _ in range(rounds):
         now = hmm
 
@@ -288,10 +305,10 @@ def score(
     states: int = 8,
     own: int = 4096,
     rest: int = 1024,
-    known: int = 200_000,
+    known: int = 100_000,
     rounds: int = 2,
     first_rounds: int = 25,
-    sample: int = 2000,
+    sample: int = 1500,
     prior: float = 20.0,
     seed: int = 5,
 ) -> DataFrame:
