@@ -1 +1 @@
-
+"""Image sources and archive sinks."""

@@ -1 +1,5 @@
+"""Streams of image layers.
 
+The batch surface has no stream of its own; what is here keeps its batch operators
+usable on arriving layers.
+"""
