@@ -178,6 +178,9 @@ def main_text(html: str | None) -> str:
     """The article's text of one page; see :func:`extract`."""
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut >= 0 and ">" not in html[cut:] and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!", "?")):
+        html = html[:cut]  # a page that ends inside a tag
     parser = Events()
     parser.feed(html)
     parser.close()
