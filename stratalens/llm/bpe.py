@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 #: Code points of Unicode's property White_Space.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -39,7 +39,7 @@ class WordBpe:
     """
 
     #: Words whose ids are kept between batches, at most.
-    KNOWN = 400_000
+    KNOWN = 200_000
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -204,6 +204,8 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ids, offsets = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(bpe.decode_batch(ids, offsets), pa.string())], names=["id", "ids", "decoded"])
+        bpe.forget()
+        give_back()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +58,18 @@ def materialize(df: DataFrame, tag: str, gathered: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its long or binary key passed through an expression that changes nothing.
+
+    The result of an aggregate is known to be dealt out by its key, so a join on that
+    key would bring all rows of a hot key from the other side to one task. Behind the
+    expression Spark deals both sides out for the join itself, where it can split
+    large partitions, or broadcasts this side if it turns out small.
+    """
+    same = F.concat(key, F.unhex(F.lit(""))) if dict(df.dtypes)[key] == "binary" else F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+    return df.withColumn(key, same)
+
+
 def row_id() -> Column:
     """A number for each row of a file scan, the same in every scan of the same files."""
     return F.monotonically_increasing_id()
@@ -66,7 +80,7 @@ def hash_mod(col: Column, n: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(n)).cast("int")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most_bytes`` a slice.
 
     A row is never cut: a slice has one row at least, however long its text.
@@ -83,6 +97,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def crc_remainder(id_col: Column, n: int) -> Column:
     """crc32 of the decimal id, modulo ``n``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import dealt_anew, materialize
 
 
-def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Each edge with the smallest neighbour of its ``u``. That side is written out, so a hub's edges can be split."""
-    return edges.join(materialize(least, "graph-least", gathered=True), "u")
+def _state(edges: DataFrame) -> tuple:
+    """Number and hash of the edges: equal if nothing changed."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,17 +25,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = F.struct(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = links.where("u <> v").select(ends.alias("e")).select("e.*").distinct()
-    edges, before = materialize(edges, "graph-edges", gathered=True), None
+    edges = materialize(edges, "graph-edges", gathered=True)
+    before = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt_anew(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "graph-large", gathered=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = _joined(large, least)
+        met = large.join(dealt_anew(least, "u"), "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "graph-small", gathered=True)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _state(edges)
         if now == before:
             return edges
         before = now

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, few_files, materialize, row_id, slices
+from .common import crc_remainder, few_files, give_back, materialize, row_id, slices
 
 #: What is added to each count.
 ADD = 0.1
@@ -39,6 +39,8 @@ def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
                 counts = Counter()
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        del counts
+        give_back()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -133,7 +135,7 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
             logs = np.zeros(len(flat))
             logs[seen] = log_count[at[seen]]
             owner = np.repeat(np.arange(len(words)), sizes)
-            total = lambda values: np.bincount(owner, weights=values, minlength=len(words))
+            total = lambda values: np.bincount(owner, weights=values, minlength=len(words)).astype(float)
             known_sum = total(logs) + end_log
             in_rest = is_rest[codes]
             rest_sum = total(np.where(in_rest, logs - log_mass[codes], 0.0))
@@ -143,7 +145,7 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
             packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(whole)])
             each = np.bincount(owner[rare], minlength=len(words)) if len(rare) else np.zeros(len(words), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), pa.array(rare_words, pa.binary()))
-            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(sizes + 1), packed, pa.array(known_sum), pa.array(rest_sum), pa.array(total(seen.astype(float)).astype(np.int64) + (1 if cl.ends else 0)), lists]
+            arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(sizes + 1), packed, pa.array(known_sum), pa.array(rest_sum), pa.array(total(seen).astype(np.int64) + (1 if cl.ends else 0)), lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "held_out", "n_tokens", "codes", "known_sum", "rest_sum", "n_known", "rare"])
 
     return docs.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, codes binary, known_sum double, rest_sum double, n_known long, rare array<binary>")
@@ -264,9 +266,11 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, first_ro
     c = classes.number()
     emit = unigram * rng.gamma(2.0, 0.5, size=(states, c))
     hmm = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=1, keepdims=True))
-    order = F.xxhash64(F.lit(seed), "row")
+    # a hash bound leaves about twice the texts wanted, so that the exact choice sees a bounded number
+    order = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 40))
+    near = coded.where(order < min(1 << 40, int((1 << 40) * (2 * sample + 64) / max(classes.ends, 1))))
     spread = F.expr(f"transform(sequence(0, least(11, octet_length(codes) div {2 * STRETCH})), i -> substring(codes, 1 + {2 * STRETCH} * cast(floor(i * (octet_length(codes) div {2 * STRETCH} + 1) / (least(11, octet_length(codes) div {2 * STRETCH}) + 1)) as int), {2 * STRETCH}))")
-    first = [bytes(x) for r in coded.orderBy(order).limit(sample).select(spread.alias("parts")).collect() for x in r.parts if len(x)]
+    first = [bytes(x) for r in near.orderBy(order).limit(sample).select(spread.alias("parts")).collect() for x in r.parts if len(x)]
     if not first:
         return hmm
     rows, lengths = stretches(first)

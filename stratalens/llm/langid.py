@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices
+from .common import crc_remainder, give_back, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are hashed to so many weights a label.
@@ -80,8 +80,13 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Score of each label for each word."""
-    which, feats = features(words)
-    return np.stack([np.bincount(which, weights=weights[k][feats], minlength=len(words)) for k in range(len(weights))], axis=1)
+    out = np.empty((len(words), len(weights)))
+    for at in range(0, len(words), 20_000):  # features of so many words at a time are held
+        part = words[at : at + 20_000]
+        which, feats = features(part)
+        for k in range(len(weights)):
+            out[at : at + len(part), k] = np.bincount(which, weights=weights[k][feats], minlength=len(part))
+    return out
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -135,7 +140,11 @@ class Crf:
     table: np.ndarray | None = None
 
     #: Words whose scores are kept between batches, at most.
-    KNOWN = 400_000
+    KNOWN = 150_000
+
+    def forget(self) -> None:
+        self.known, self.table = {}, None
+        give_back()
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "table": None}
@@ -311,10 +320,11 @@ def identify(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             names, scores, found = shared.value.decide(batch.column("text").to_pylist())
             columns = [batch.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(found, kind)] * runs, names=["id", "lang_pred", "score"] + ["runs"] * runs)
+        shared.value.forget()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -325,8 +335,9 @@ def keep_identified(df: DataFrame, model: Crf, text_col: str = "text", least: fl
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):
             names, scores, _ = shared.value.decide(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        shared.value.forget()
 
     return df.mapInArrow(run, df.schema)

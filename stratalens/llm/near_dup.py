@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_id, slices
+from .common import dealt_anew, give_back, materialize, row_id, slices
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -50,7 +50,7 @@ def bags(texts: list[str | None], width: int) -> tuple[list[tuple[np.ndarray, np
     text of fewer than ``width`` words is one shingle; one without words has none,
     and no key.
     """
-    if len(HASHES) > 500_000:
+    if len(HASHES) > 200_000:
         HASHES.clear()
     words = [t.encode().lower().split() if t else [] for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -156,21 +156,23 @@ def reread(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     chance is dropped by a join.
     """
     slot = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(FILTER_BITS)) + 1  # bitmap buckets count from 1
-    bits = bytearray(FILTER_BITS // 8)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     maps = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    for r in maps.collect():  # 4 KB for each of 2048 stretches of the filter, at most
-        bits[(r.b - 1) * 4096 : r.b * 4096] = r.m
-    number = F.bitmap_bucket_number("slot") - 1
-    place = number * 4096 + F.shiftright(F.bitmap_bit_position("slot"), 3)
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), place.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    passed = docs.withColumn("slot", slot).where(byte.bitwiseAND(F.pow(F.lit(2), F.bitmap_bit_position("slot") % 8).cast("int")) > F.lit(0)).select("row", "text")
+    for r in maps.toLocalIterator():  # 4 KB for each of 2048 stretches of the filter, at most
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, _ = bags(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["row", "hashes", "counts"])
+        for whole in batches:
+            at = whole.column("slot").to_numpy() - 1
+            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            for batch in slices([whole.filter(pa.array(hit.astype(bool)))], "text"):
+                found, _ = bags(batch.column("text").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["row", "hashes", "counts"])
+        HASHES.clear()
+        give_back()
 
-    return passed.mapInArrow(run, "row long, hashes binary, counts binary").join(wanted, "row", "left_semi")
+    return docs.select("row", "text", slot.alias("slot")).mapInArrow(run, "row long, hashes binary, counts binary").join(wanted, "row", "left_semi")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -196,7 +198,7 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
     two chunks.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
-    dealt = members.join(materialize(sizes, "near-sizes", gathered=True), "bucket").withColumn("i", F.pmod(F.xxhash64("row"), F.col("n").cast("long")).cast("int"))
+    dealt = members.join(dealt_anew(sizes, "bucket"), "bucket").withColumn("i", F.pmod(F.xxhash64("row"), F.col("n").cast("long")).cast("int"))
     cells = dealt.withColumn("j", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
     full = cells.select("bucket", "a", "b", "row", "part").join(texts, "row")
 
@@ -223,16 +225,16 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, chunk: int = 128
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 512
 ) -> DataFrame:
     """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
 
     Equal word sequences count once. Of the others, ``bands`` times ``band_rows``
     BagMinHash components are banded: a pair of similarity 0.8 shares a band with a
-    probability of 0.999997. Rows of a band's bucket are verified against its
+    probability of 0.9999. Rows of a band's bucket are verified against its
     smallest row, exactly, by multiset overlap; buckets whose other rows are then
-    still in different components are compared pair by pair in bounded cells, so a
-    bucket's links are all found. Components of the links are the classes.
+    in several components are compared pair by pair in bounded cells, so a bucket's
+    links are all found. Components of the links are the classes.
 
     Returns per input row: row_id, ``id_col`` (long), class_id (smallest id of the
     class), class_size, kept (one row of each class: that of the smallest id, null
@@ -243,7 +245,7 @@ def near_duplicates(
     docs = df.select(row_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             found, keys = bags(batch.column("text").to_pylist(), width)
             full = [i for i, (h, _) in enumerate(found) if len(h)]
             banded: list = [None] * len(found)
@@ -251,27 +253,29 @@ def near_duplicates(
                 for i, k in zip(full, band_keys(bag_min_hash([found[i] for i in full], bands * band_rows), band_rows), strict=True):
                     banded[i] = k
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["row", "id", "key", "bands"])
+        HASHES.clear()
+        give_back()
 
     signed = materialize(docs.mapInArrow(sign, "row long, id long, key binary, bands array<long>"), "near-signed")
     copies = signed.where("key is not null").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    rows = signed.join(materialize(copies, "near-copies", gathered=True), "key", "left").withColumn("first", F.coalesce("first", "row"))
-    rows = materialize(rows.select("row", "id", "first", F.when(F.col("row") == F.col("first"), F.col("bands")).alias("bands")), "near-rows")
+    rows = signed.join(dealt_anew(copies, "key"), "key", "left").withColumn("first", F.coalesce("first", "row"))
+    rows = materialize(rows.select("row", "id", "first", F.when(F.col("row") == F.col("first"), F.col("bands")).alias("bands")), "near-rows", gathered=True)
     banded = rows.where("bands is not null").select("row", F.posexplode("bands").alias("band", "key")).select("row", F.xxhash64("band", "key").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(banded.join(materialize(shared, "near-buckets", gathered=True), "bucket"), "near-met", gathered=True)
-    pairs = materialize(met.where("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct(), "near-pairs", gathered=True)
+    met = materialize(banded.join(dealt_anew(shared, "bucket"), "bucket"), "near-met", gathered=True)
+    pairs = met.where("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-    texts = materialize(reread(docs, wanted, width), "near-texts")
-    links = materialize(verify(pairs, texts, least), "near-links")
-    parts = components(links)
+    texts = materialize(reread(docs, wanted, width), "near-texts", gathered=True)
+    parts = components(verify(pairs, texts, least))
 
-    # what a bucket's centre left open: its other rows, where they are in several parts
-    named = met.where("n > 2 and row <> centre").join(parts.select(F.col("u").alias("row"), F.col("v").alias("part")), "row", "left").withColumn("part", F.coalesce("part", "row"))
+    # what a bucket's centre left open: its other rows, where they are in several components
+    linked = parts.select(F.col("u").alias("row"), F.col("v").alias("part"))
+    named = met.where("n > 2 and row <> centre").select("bucket", "row").join(linked, "row", "left").withColumn("part", F.coalesce("part", "row"))
     named = materialize(named.select("bucket", "row", "part"), "near-named", gathered=True)
     # buckets of the same rows are compared once
     several = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows")).where("p < q")
-    open_ = materialize(several.groupBy("n", "rows").agg(F.min("bucket").alias("bucket")).select("bucket"), "near-open", gathered=True)
-    more = materialize(link_cells(named.join(open_, "bucket"), texts, least, chunk), "near-more", gathered=True)
+    open_ = several.groupBy("n", "rows").agg(F.min("bucket").alias("bucket")).select("bucket")
+    more = materialize(link_cells(named.join(dealt_anew(open_, "bucket"), "bucket"), texts, least, chunk), "near-more")
     if not more.isEmpty():
         parts = components(parts.unionByName(more))
 
@@ -279,7 +283,7 @@ def near_duplicates(
     placed = materialize(placed, "near-placed", gathered=True)
     best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
     classes = placed.groupBy("part").agg(best, F.count("*").alias("n")).where("n > 1").select("part", F.col("best.id").alias("class_id"), F.col("best.row").alias("stays"), "n")
-    out = placed.join(materialize(classes, "near-classes", gathered=True), "part", "left")
+    out = placed.join(dealt_anew(classes, "part"), "part", "left")
     alone = F.col("n").isNull()
     return out.select(
         F.col("row").alias("row_id"),
