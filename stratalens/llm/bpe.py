@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices
+from .common import give_back, slices, small_batches
 
 #: Code points of Unicode's property White_Space.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -208,4 +208,4 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         give_back()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -80,6 +80,19 @@ def hash_mod(col: Column, n: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(n)).cast("int")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` of a session that hands ``rows`` rows at most to a Python worker at a time.
+
+    The default of 10,000 texts is tens of megabytes in the executor and again in the
+    worker. A smaller setting is left alone.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``most_bytes`` a slice.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, few_files, give_back, materialize, row_id, slices
+from .common import crc_remainder, few_files, give_back, materialize, row_id, slices, small_batches
 
 #: What is added to each count.
 ADD = 0.1
@@ -42,7 +42,7 @@ def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
         del counts
         give_back()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return small_batches(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 @dataclass

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 # HTML element names by role.
 BLOCKS = frozenset(
@@ -233,4 +233,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    return rows.mapInArrow(run, "id long, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
+    return small_batches(rows).mapInArrow(run, "id long, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, give_back, slices
+from .common import crc_remainder, give_back, slices, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are hashed to so many weights a label.
@@ -327,7 +327,7 @@ def identify(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
         shared.value.forget()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def keep_identified(df: DataFrame, model: Crf, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -340,4 +340,4 @@ def keep_identified(df: DataFrame, model: Crf, text_col: str = "text", least: fl
             yield batch.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
         shared.value.forget()
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, give_back, materialize, row_id, slices
+from .common import dealt_anew, give_back, materialize, row_id, slices, small_batches
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -256,7 +256,7 @@ def near_duplicates(
         HASHES.clear()
         give_back()
 
-    signed = materialize(docs.mapInArrow(sign, "row long, id long, key binary, bands array<long>"), "near-signed")
+    signed = materialize(small_batches(docs).mapInArrow(sign, "row long, id long, key binary, bands array<long>"), "near-signed")
     copies = signed.where("key is not null").groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     rows = signed.join(dealt_anew(copies, "key"), "key", "left").withColumn("first", F.coalesce("first", "row"))
     rows = materialize(rows.select("row", "id", "first", F.when(F.col("row") == F.col("first"), F.col("bands")).alias("bands")), "near-rows", gathered=True)
