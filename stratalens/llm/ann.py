@@ -14,10 +14,6 @@ from .common import materialize, row_id
 FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-#: A standard normal lies within so much of 0 half of the time.
-HALF = 0.6745
-
-
 class Projections:
     """Sorted arrays of one random projection each, over the vectors of a block.
 
@@ -50,33 +46,35 @@ class Projections:
             np.add(total, ones, out=total)
         return total
 
-    def search(self, queries: np.ndarray, own: np.ndarray, top: int, enough: int, width: float, grow: float, margin: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Verified places and their products, for each query; ``own`` is the query's place or -1.
+    def search(self, queries: np.ndarray, own: np.ndarray, top: int, enough: int, width: float, grow: float, margin: float) -> list[np.ndarray | None]:
+        """For each query places that hold its best ``top``, or None if it needs them all; ``own`` is the query's place or -1.
 
         Every projection has a window centred on the query, found in its sorted
         array; virtual rehashing widens all windows by the factor ``grow``. A place
-        that collides in half of the projections is verified. A half-width w belongs
-        to the distance w / 0.67, at which half of the projections collide. The
-        search of a query ends when the last of its ``top`` verified places is
-        ``margin`` times closer than that distance (what is closer still has collided
-        in more than half, then), when ``enough`` places are verified, or when all
-        windows hold everything.
+        that collides in half of the projections is verified. With the half-width w
+        all others lie outside m = count - need + 1 windows or more, so their
+        distance is at least w * sqrt(m) / s, s being the largest singular value of
+        the directions. The search of a query ends when the last of its ``top``
+        verified places is ``margin`` times closer than that bound. Windows that
+        pass ``enough`` places, or hold everything, separate too poorly: None.
         """
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         asked = (queries @ self.directions[:-1] / norms[:, None]).T
         need = -(-self.count // 2)
+        reach = np.sqrt(self.count - need + 1) / np.linalg.norm(self.directions, 2)
         live = np.arange(len(queries))
-        out: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        out: list = [None] * len(queries)
         while len(live):
             low, high = (np.stack([np.searchsorted(s, q, side) for s, q in zip(self.sorted, asked[:, live] + w, strict=True)]) for w, side in ((-width, "left"), (width, "right")))
             stay = []
             for j, i in enumerate(live.tolist()):
                 passed = np.flatnonzero(self.collisions(low[:, j].tolist(), high[:, j].tolist()) >= need)
+                if len(passed) >= min(enough, self.n):
+                    continue
                 passed = passed[passed != own[i]]
-                scores = self.vectors[passed] @ queries[i]
-                out[i] = passed, scores
-                full = bool((low[:, j] == 0).all() and (high[:, j] == self.n).all())
-                if not (full or len(passed) >= min(enough, self.n) or len(passed) >= top and self.close(scores, norms[i], top, width / HALF / margin)):
+                if len(passed) >= top and self.close(self.vectors[passed] @ queries[i], norms[i], top, width * reach / margin):
+                    out[i] = passed
+                else:
                     stay.append(i)
             live = np.array(stay, dtype=np.int64)
             width *= grow
@@ -88,27 +86,63 @@ class Projections:
         return 2.0 - 2.0 * least / (norm * self.radius) <= distance * distance
 
 
+def norm_ranges(norms: np.ndarray, ratio: float = 0.5) -> list[np.ndarray]:
+    """Places by falling norm, cut where the norm falls below ``ratio`` times the largest of the range."""
+    order = np.argsort(-norms, kind="stable")
+    falling, out, at = -norms[order], [], 0
+    while at < len(order):
+        end = int(np.searchsorted(falling, ratio * falling[at], side="right"))
+        out.append(np.sort(order[at:end]))
+        at = end
+    return out
+
+
 def search_block(
     rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, radius: float, top: int, projections: int, verify: float, least: int, width: float, grow: float, margin: float, seed: int, batch: int = 64
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the best ``top`` of a block: (query place, places, scores). ``rows`` ascend."""
-    enough = max(int(verify * len(rows)), least)
-    index = Projections(vectors, radius, projections, seed) if enough < len(rows) else None
-    at = np.searchsorted(rows, query_rows)
-    own = np.where(rows[np.minimum(at, len(rows) - 1)] == query_rows, at, -1)
+    """For each query the best ``top`` of a block: (query place, places, scores). ``rows`` ascend.
+
+    Each range of norms is indexed with its own radius, ``radius`` bounding all. Ranges
+    are taken by falling norm; a query leaves out those whose radius times its norm is
+    less than its last product. Where windows prove nothing the range is scanned whole.
+    """
+    lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    parts = []
+    for places in norm_ranges(lengths):
+        enough = max(int(verify * len(places)), least)
+        largest, x = min(float(lengths[places].max()), radius), vectors[places]
+        parts.append((places, x, largest, enough, Projections(x, largest, projections, seed) if enough < len(places) else None))
     for start in range(0, len(queries), batch):
-        part, mine = queries[start : start + batch], own[start : start + batch]
-        if index:
-            found = index.search(part, mine, top, enough, width, grow, margin)
-        else:
-            places = np.arange(len(rows))
-            found = [(w, vectors[w] @ q) for q, o in zip(part, mine, strict=True) for w in [places[places != o]]]
+        part, mine = queries[start : start + batch], query_rows[start : start + batch]
+        norms = np.sqrt(np.einsum("ij,ij->i", part, part))
+        found: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(part)
+        for places, x, largest, enough, index in parts:
+            # products of one pair differ by rounding, so bounds give way a little
+            open_ = np.array([i for i, (_, s) in enumerate(found) if len(s) < top or s.min() <= norms[i] * largest * (1 + 1e-9)], dtype=np.int64)
+            if not len(open_):
+                break
+            at = np.minimum(np.searchsorted(rows[places], mine[open_]), len(places) - 1)
+            own = np.where(rows[places][at] == mine[open_], at, -1)
+            held = index.search(part[open_], own, top, enough, width, grow, margin) if index else [None] * len(open_)
+            whole = np.array([j for j, h in enumerate(held) if h is None], dtype=np.int64)
+            products = dict(zip(whole.tolist(), part[open_[whole]] @ x.T, strict=True))
+            for j, i in enumerate(open_.tolist()):
+                if j in products:
+                    scores = products[j]
+                    if own[j] >= 0:
+                        scores[own[j]] = -np.inf
+                    k = min(top, len(scores))
+                    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    near = np.flatnonzero((scores >= cut - 1e-9 * norms[i] * largest) & (scores > -np.inf))
+                else:
+                    near = held[j]
+                old, before = found[i]
+                all_ = np.concatenate([old, places[near]])
+                scores = np.concatenate([before, np.einsum("ij,j->i", x[near], part[i])])  # row by row, so that equal vectors tie
+                best = np.lexsort((rows[all_], ids[all_], -scores))[:top]
+                found[i] = all_[best], scores[best]
         for i, (places, scores) in enumerate(found):
-            if len(places) > top:  # ties at the cut are settled below, so all of them stay until then
-                cut = np.partition(scores, len(scores) - top)[len(scores) - top]
-                places, scores = places[scores >= cut], scores[scores >= cut]
-            best = np.lexsort((rows[places], ids[places], -scores))[:top]
-            yield start + i, places[best], scores[best]
+            yield start + i, places, scores
 
 
 def nearest(
@@ -132,11 +166,13 @@ def nearest(
     Queries are the rows whose id is divisible by ``every``; candidates all rows
     but the query's own. All rows are indexed: they are dealt by hash into blocks of
     about ``components`` numbers, queries into blocks of ``query_block``; a task takes
-    one block of each, sorts ``projections`` projections of its vectors and widens
-    windows around each query (:meth:`Projections.search`), verifying at most about
-    ``verify`` of the block or ``least`` vectors by exact products in double
-    precision. Each block gives its best ``top``, and a window over blocks gives the
-    final ones. Ties go to the smaller id, then the earlier row.
+    one block of each, cuts its vectors into ranges of norms, sorts ``projections``
+    projections of each range and widens windows around each query until a bound
+    proves that no other vector is nearer (:meth:`Projections.search`). A query whose
+    windows pass ``verify`` of a range or ``least`` vectors without that is compared
+    with the whole range, so the result is exact. Products are in double precision.
+    Each block gives its best ``top``, and a window over blocks gives the final
+    ones. Ties go to the smaller id, then the earlier row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and
     rows with null id, take no part. Vectors of different lengths never meet. Of

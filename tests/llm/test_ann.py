@@ -69,3 +69,26 @@ def test_odd_vectors_and_ties(spark):
 
 def test_query(spark, smallest):
     assert queries.op10_nearest(spark, smallest).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+@pytest.mark.parametrize("kind, d", [("one long", 64), ("lognormal", 64), ("unit", 384), ("clustered", 64)])
+def test_exact_where_projections_separate_poorly(kind, d):
+    """Mixed norms and many dimensions: every true neighbour is found."""
+    rng = np.random.default_rng(5)
+    n = 8000
+    x = rng.standard_normal((n, d))
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((n // 40, d)), 40, 0) + 0.05 * x
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if kind == "one long":
+        x[17] *= 5.0
+    if kind == "lognormal":
+        x *= rng.lognormal(0.0, 0.5, (n, 1))
+    ids = np.arange(n)
+    q = ids[ids % 200 == 0]
+    radius = float(np.sqrt((x * x).sum(1).max()))
+    found = ann.search_block(ids, ids, x, q, x[q], radius, 20, projections=128, verify=0.08, least=512, width=0.2, grow=1.35, margin=1.3, seed=11)
+    want = brute(ids, x, 200)
+    for i, at, scores in found:
+        assert at.tolist() == [j for j, _ in want[int(q[i])]]
+        assert np.allclose(scores, x[at] @ x[q[i]], rtol=0, atol=1e-12)
