@@ -174,40 +174,48 @@ def stretches(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, transitions and emissions over stretches, by scaled forward-backward."""
+    """Baum-Welch: expected starts, transitions and emissions over stretches, by scaled forward-backward.
+
+    Arrays are states x stretches, so that every step runs along the stretches.
+    """
     order = np.argsort(-lengths, kind="stable")
-    rows, lengths = rows[order], lengths[order]
+    rows, lengths = np.ascontiguousarray(rows[order].T), lengths[order]
     k, c = hmm.emit.shape
     live = np.searchsorted(-lengths, -np.arange(STRETCH), side="left")
     steps = int(lengths[0])
-    by_class = np.ascontiguousarray(hmm.emit.T, dtype=np.float32)
+    emit = np.ascontiguousarray(hmm.emit, dtype=np.float32)
     move = hmm.move.astype(np.float32)
-    alphas, seen, scales = [], [], []
+    back = np.ascontiguousarray(move.T)
+    first = hmm.start.astype(np.float32)[:, None]
+    begin = np.r_[0, np.cumsum(live[:steps])]
+    where = np.concatenate([rows[t, : live[t]] for t in range(steps)])
+    held = np.empty((k, len(where)), dtype=np.float32)
+    seen, scales = [], []
     now = None
     for t in range(steps):
         m = live[t]
-        e = by_class[rows[:m, t]]
-        now = hmm.start.astype(np.float32) * e if now is None else (now[:m] @ move) * e
-        scale = now.sum(axis=1, keepdims=True)
-        now = now / scale
-        alphas.append(now)
+        e = emit.take(rows[t, :m], axis=1)
+        now = first * e if now is None else (back @ now[:, :m]) * e
+        scale = now.sum(axis=0)
+        now /= scale
+        held[:, begin[t] : begin[t + 1]] = now
         seen.append(e)
         scales.append(scale)
     pairs = np.zeros((k, k))
     emits = np.zeros((k, c))
-    beta = np.ones((live[steps - 1], k), dtype=np.float32)
+    beta = np.ones((k, live[steps - 1]), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
+        alpha = held[:, begin[t] : begin[t + 1]]
         if t < steps - 1:
-            ahead = beta * seen[t + 1] / scales[t + 1]
-            pairs += (alphas[t][: len(ahead)].T @ ahead) * move
-            beta = np.concatenate([ahead @ move.T, np.ones((live[t] - len(ahead), k), dtype=np.float32)])
-        gamma = alphas[t] * beta
-        alphas[t] = gamma  # its forward part is used up
-    starts = alphas[0].sum(axis=0, dtype=np.float64)
-    held = np.concatenate(alphas)
-    where = np.concatenate([rows[: live[t], t] for t in range(steps)])
+            ahead = beta * seen[t + 1]
+            ahead /= scales[t + 1]
+            pairs += (alpha[:, : ahead.shape[1]] @ ahead.T) * move
+            beta = np.ones((k, live[t]), dtype=np.float32)
+            beta[:, : ahead.shape[1]] = move @ ahead
+        alpha *= beta  # its forward part is used up
+    starts = held[:, : live[0]].sum(axis=1, dtype=np.float64)
     for j in range(k):
-        emits[j] = np.bincount(where, weights=held[:, j], minlength=c)
+        emits[j] = np.bincount(where, weights=held[j], minlength=c)
     return starts, pairs, emits
 
 
@@ -253,34 +261,20 @@ def log10_likelihood(hmm: Hmm, codes: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(coded: DataFrame, classes: Classes, states: int, rounds: int, first_rounds: int, sample: int, prior: float, seed: int) -> Hmm:
-    """Baum-Welch over all coded training texts, ``rounds`` times.
+def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: float, seed: int) -> Hmm:
+    """Baum-Welch over all coded training texts, ``rounds`` times, from random emissions.
 
-    It begins from states that ``first_rounds`` rounds on the driver give on a
-    bounded sample of ``sample`` texts (12 stretches of each, spread over the whole
-    text); then each round adds up expected counts in every partition, sums them in
-    Spark, and gives the driver states x classes sums.
+    Each round adds up expected counts in every partition, sums them in Spark, and
+    gives the driver states x classes sums.
     """
     unigram = classes.mass / classes.mass.sum()
     rng = np.random.default_rng(seed)
     c = classes.number()
     emit = unigram * rng.gamma(2.0, 0.5, size=(states, c))
     hmm = Hmm(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=1, keepdims=True))
-    # a hash bound leaves about twice the texts wanted, so that the exact choice sees a bounded number
-    order = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 40))
-    near = coded.where(order < min(1 << 40, int((1 << 40) * (2 * sample + 64) / max(classes.ends, 1))))
-    spread = F.expr(f"transform(sequence(0, least(11, octet_length(codes) div {2 * STRETCH})), i -> substring(codes, 1 + {2 * STRETCH} * cast(floor(i * (octet_length(codes) div {2 * STRETCH} + 1) / (least(11, octet_length(codes) div {2 * STRETCH}) + 1)) as int), {2 * STRETCH}))")
-    first = [bytes(x) for r in near.orderBy(order).limit(sample).select(spread.alias("parts")).collect() for x in r.parts if len(x)]
-    if not first:
+    if not classes.ends:
         return hmm
-    rows, lengths = stretches(first)
     shapes = ((states,), (states, states), (states, c))
-    for _ in range(first_rounds):
-        sums = [np.zeros(s) for s in shapes]
-        for at in range(0, len(rows), 2048):
-            for total, more in zip(sums, expected(hmm, rows[at : at + 2048], lengths[at : at + 2048]), strict=True):
-                total += more
-        hmm = maximise(*sums, unigram, prior)
     for _ in range(rounds):
         now = hmm
 
@@ -312,7 +306,6 @@ def score(
     known: int = 100_000,
     rounds: int = 2,
     first_rounds: int = 25,
-    sample: int = 1500,
     prior: float = 20.0,
     seed: int = 5,
 ) -> DataFrame:
@@ -324,7 +317,8 @@ def score(
     cover all training texts. Counts of the ``known`` most frequent words (of 64
     bytes at most) go to every executor; those of all others are joined by word,
     where no word is frequent. ``score`` is log10 of the probability of the word and
-    end sequence, summed over all state paths.
+    end sequence, summed over all state paths. Each of the ``first_rounds`` +
+    ``rounds`` rounds of Baum-Welch covers all training texts.
 
     Returns per input row ``id_col``, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Null and empty texts have the end token alone. Repeated rows
@@ -340,7 +334,7 @@ def score(
     n, v = facts.n + ends, facts.v + (1 if ends else 0)
     classes = make_classes(counts, ends, own, rest, known)
     coded = materialize(classify(docs, classes), "lm-coded")
-    hmm = train(coded.where(~F.col("held_out")).select("row", "codes"), classes, states, rounds, first_rounds, sample, prior, seed)
+    hmm = train(coded.where(~F.col("held_out")).select("row", "codes"), classes, states, first_rounds + rounds, prior, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "codes", 2 << 20):

@@ -98,3 +98,25 @@ def test_cases(spark):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = hmm_lm.score(spark.createDataFrame([(alone, "x y")], "doc_id long, text string")).first()
     assert (r.held_out, r.train_tokens, r.n_known, r.base_score) == (True, 0, 0, 0.0)
+
+
+def test_every_round_sees_all_texts(spark, monkeypatch):
+    """Texts of 32 stretches whose words change from stretch to stretch, against rounds over all of them in one piece."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{20 * (t // 64) + w}" for t, w in enumerate(rng.integers(0, 20, 2047).tolist()))) for i in range(30)]
+    held, real = [], hmm_lm.train
+
+    def kept(coded, classes, *rest):
+        held.append((coded, classes, real(coded, classes, *rest)))
+        return held[-1][2]
+
+    monkeypatch.setattr(hmm_lm, "train", kept)
+    hmm_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=0, first_rounds=4)
+    [(coded, classes, got)] = held
+    unigram = classes.mass / classes.mass.sum()
+    emit = unigram * np.random.default_rng(5).gamma(2.0, 0.5, size=(3, classes.number()))
+    want = hmm_lm.Hmm(np.full(3, 1 / 3), np.full((3, 3), 0.1 / 3) + 0.9 * np.eye(3), emit / emit.sum(axis=1, keepdims=True))
+    cut = hmm_lm.stretches([bytes(r.codes) for r in coded.collect()])
+    for _ in range(4):
+        want = hmm_lm.maximise(*hmm_lm.expected(want, *cut), unigram, 20.0)
+    assert np.allclose(got.emit, want.emit, rtol=1e-2, atol=1e-6) and np.allclose(got.move, want.move, rtol=1e-2, atol=1e-6)
