@@ -35,7 +35,8 @@ CLOSES_P = BLOCKS - {"html", "head", "body"}
 class Events(HTMLParser):
     """Turns parser events into lines: a block's text with its counts of tags and link text.
 
-    ``lines`` holds [parts, tags, link characters, container path, in article].
+    ``lines`` holds [parts, tags, link characters, container path, headline].
+    ``bounds`` names the containers that are article or main elements.
     Elements known to be noise are skipped with all they hold.
     """
 
@@ -47,13 +48,14 @@ class Events(HTMLParser):
         self.holds: list[int] = []  # open containers
         self.made = 0
         self.article_depth: list[int] = []
+        self.bounds: dict[int, str] = {}
         self.lines: list[list] = []
         self.line: list = [[], 0, 0, (), False]
 
     def end_line(self) -> None:
         if self.line[0]:
             self.lines.append(self.line)
-        self.line = [[], 0, 0, tuple(self.holds), bool(self.article_depth)]
+        self.line = [[], 0, 0, tuple(self.holds), "h1" in self.open]
 
     def noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NOISE:
@@ -64,7 +66,7 @@ class Events(HTMLParser):
             return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = set(SPLIT.split(CAMEL.sub(" ", value).lower()))
+                words = {*SPLIT.split(CAMEL.sub(" ", value).lower()), *value.lower().split()}  # sideBar is a sidebar
                 hit = words & NOISE_WORDS
                 if hit and not (self.article_depth and hit <= {"header", "banner"}):
                     return True
@@ -100,9 +102,10 @@ class Events(HTMLParser):
         if tag == "a":
             self.links += 1
         if block:
+            self.made += 1
             if tag in ("article", "main"):
                 self.article_depth.append(len(self.open) - 1)
-            self.made += 1
+                self.bounds[self.made] = tag
             self.holds.append(self.made)
             self.end_line()
 
@@ -189,26 +192,44 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = np.array([max(len(t) - line[2], 0) / (line[1] + 1) for t, line in rows])
     chosen = clusters(ratios)
-    inside = np.array([line[4] for _, line in rows])
-    if inside.any():
-        # an article or main element bounds the region; of several, the one with most clustered text counts
-        best = region([(len(t) if c else 0, line[3]) for (t, line), c, a in zip(rows, chosen, inside, strict=True) if a] or [], 0.6)
-        picked = [t for (t, line), a in zip(rows, inside, strict=True) if a and line[3][: len(best)] == best]
-        return " ".join(picked)
-    best = region([(len(t) if c else 0, line[3]) for (t, line), c in zip(rows, chosen, strict=True)], 0.8)
-    return " ".join(t for t, line in rows if line[3][: len(best)] == best and line[2] <= 0.5 * len(t))
-
-
-def region(weighed: list[tuple[int, tuple[int, ...]]], share: float) -> tuple[int, ...]:
-    """The deepest container that holds ``share`` of the clustered text."""
-    total = sum(w for w, _ in weighed)
-    held: dict[tuple[int, ...], int] = {}
-    for w, path in weighed:
-        for k in range(1, len(path) + 1):
-            held[path[:k]] = held.get(path[:k], 0) + w
-    leaves = {path for _, path in weighed}
-    fit = [p for p, w in held.items() if total and w >= share * total and p not in leaves]
-    return max(fit, key=len, default=())
+    held = [(t, line, bool(c)) for (t, line), c in zip(rows, chosen, strict=True)]
+    return " ".join(t for t, _, _ in (within(held, parser.bounds) if parser.bounds else region(held)))
+
+
+def within(held: list[tuple[str, list, bool]], bounds: dict[int, str]) -> list[tuple[str, list, bool]]:
+    """All lines of the article or main element with most clustered text, and the headline of the main around an article.
+
+    Text inside articles counts for the outermost one, other text for its main element.
+    """
+    owners = []
+    for _, line, _ in held:
+        around = [i for i in line[3] if i in bounds]
+        owners.append((next((i for i in around if bounds[i] == "article"), around[0] if around else 0), around))
+    weight: dict[int, list[int]] = {}
+    for (t, _, c), (owner, _) in zip(held, owners, strict=True):
+        if owner:
+            both = weight.setdefault(owner, [0, 0])
+            both[0] += len(t) if c else 0
+            both[1] += len(t)
+    if not weight:
+        return region(held)
+    best = max(weight, key=lambda i: weight[i])
+    outer = {i for _, around in owners if best in around for i in around[: around.index(best)]}
+    return [row for row, (owner, around) in zip(held, owners, strict=True) if best in around or row[1][4] and owner in outer]
+
+
+def region(held: list[tuple[str, list, bool]]) -> list[tuple[str, list, bool]]:
+    """Lines of the smallest container of all clustered lines and the headlines; blocks of links before and behind the clusters are menus."""
+    marked = [i for i, (_, _, c) in enumerate(held) if c]
+    if not marked:
+        return []
+    paths = [line[3] for _, line, c in held if c or line[4]]
+    low, high = min(paths), max(paths)
+    n = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    best = low[:n]
+    if n and any(line[3] == best for _, line, _ in held):
+        best = best[:-1]  # a line of its own, and what stands beside it
+    return [row for i, row in enumerate(held) if row[1][3][: len(best)] == best and (marked[0] <= i <= marked[-1] or row[1][2] <= 0.5 * len(row[0]))]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -217,9 +238,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     A standard-library parser streams the page; every block becomes a line with
     its text and tag counts. Menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles and comments are recognised by element, role, class or
-    id and left out. Ratios of text to tags are smoothed and cut at a threshold;
-    the smallest container of the clustered lines is the content region, within
-    article or main elements where a page has them, and all its lines are kept.
+    id and left out. Ratios of text to tags are smoothed and cut at a threshold.
+    Where a page has article or main elements, the one with most clustered text is
+    kept whole; elsewhere the smallest container of all clustered lines and h1
+    headlines, less blocks of links before and behind them.
     White space runs become one space; blocks are joined by one space.
 
     Null or empty html and pages without content: empty text. Pages of any size

@@ -22,6 +22,20 @@ PAGES = [
     ("<article><p>unclosed <b>bold<p>next", "unclosed bold next"),
 ]
 
+WORDS = " ".join(["word"] * 30)
+WHOLE = [
+    (f"<article><h1>T</h1><div class='body'><p>{WORDS}</p><p>{WORDS}</p></div></article>", f"T {WORDS} {WORDS}"),
+    (f"<article><section><p>{WORDS} {WORDS}</p><p>a {WORDS}</p></section><section><p>b {WORDS}</p></section></article>", f"{WORDS} {WORDS} a {WORDS} b {WORDS}"),
+    (f"<article><p>before</p><blockquote><p>{WORDS}</p><p>{WORDS}</p></blockquote><p>after</p></article>", f"before {WORDS} {WORDS} after"),
+    (f"<main><h1>T</h1><article><p>{WORDS}</p></article><article><p>card</p></article></main>", f"T {WORDS}"),
+    (f"<div><h1>T</h1><div><p>{WORDS}</p><p>{WORDS}</p><p><a href='x'>source</a></p><p>{WORDS}</p></div></div>", f"T {WORDS} {WORDS} source {WORDS}"),
+]
+
+
+@pytest.mark.parametrize("page, want", WHOLE)
+def test_nothing_of_the_article_is_lost(page, want):
+    assert html_text.main_text(page) == want
+
 
 @pytest.mark.parametrize("page, want", PAGES)
 def test_pages(page, want):
