@@ -24,7 +24,18 @@ NOISE = frozenset("head script style noscript template iframe object svg math ca
 NOISE_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation navigate menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended recommendations recirc share sharing sharebar social comment comments commentlist commenter disqus discussion respond reply replies footer foot header masthead topbar pagination pager toolbar login search searchbox copyright legal skip complementary contentinfo dialog outbrain taboola teaser teasers".split()
 )
+#: Words beside a noise word that make it name content.
 CONTENT_WORDS = frozenset("article content story".split())
+#: Words that say what is, is not or was there besides.
+BESIDES = frozenset("has no with without".split())
+#: Words that stand beside a noise word without making it anything else.
+FURNITURE = frozenset(
+    "area bar bottom box button buttons block cards center container fixed form global group holder icons inline inner item items js left line link links list main media message mobile module outer page panel post posts primary region right row secondary section site slot sticky strip text title top unit wrap wrapper".split()
+)
+#: Text elements: within an article their class says how they look.
+TEXT = frozenset("p h2 h3 h4 h5 h6 blockquote pre".split())
+#: Elements within a line, which hold no article.
+INLINE = frozenset("a abbr b big cite code em font i img label small span strong sub sup time u".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -35,9 +46,12 @@ CLOSES_P = BLOCKS - {"html", "head", "body"}
 class Events(HTMLParser):
     """Turns parser events into lines: a block's text with its counts of tags and link text.
 
-    ``lines`` holds [parts, tags, link characters, container path, headline].
+    ``lines`` holds [parts, tags, link characters, container path, headline, doubts].
     ``bounds`` names the containers that are article or main elements.
-    Elements known to be noise are skipped with all they hold.
+    Elements known to be noise are skipped with all they hold. Containers that only
+    their class, id or role calls noise are doubted: their lines are kept apart, and
+    ``cleared`` has those that hold an article, main or h1. ``free`` has those that
+    stand outside articles and are cleared if most of the clustered text is theirs.
     """
 
     def __init__(self) -> None:
@@ -49,29 +63,44 @@ class Events(HTMLParser):
         self.made = 0
         self.article_depth: list[int] = []
         self.bounds: dict[int, str] = {}
+        self.doubts: list[tuple[int, int]] = []  # depth and number of open doubted containers
+        self.doubted = 0
+        self.cleared: set[int] = set()
+        self.free: set[int] = set()
         self.lines: list[list] = []
-        self.line: list = [[], 0, 0, (), False]
+        self.line: list = [[], 0, 0, (), False, ()]
 
     def end_line(self) -> None:
         if self.line[0]:
             self.lines.append(self.line)
-        self.line = [[], 0, 0, tuple(self.holds), "h1" in self.open]
+        self.line = [[], 0, 0, tuple(self.holds), "h1" in self.open, tuple(i for _, i in self.doubts)]
 
     def noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether an element is noise for certain."""
         if tag in NOISE:
             return True
         if tag == "header":
             return not self.article_depth
         if not attrs or tag in ("html", "body", "main", "article", "h1"):
             return False
+        return any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and HIDDEN.search(value.lower()) for name, value in attrs)
+
+    def named_noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether class, id or role, name by name, call an element noise and nothing else."""
+        if not attrs or tag in ("html", "body", "main", "article", "h1") or self.article_depth and tag in TEXT:
+            return False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                words = {*SPLIT.split(CAMEL.sub(" ", value).lower()), *value.lower().split()}  # sideBar is a sidebar
-                hit = words & NOISE_WORDS
-                if hit and not (self.article_depth and hit <= {"header", "banner"}):
-                    return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and HIDDEN.search(value.lower()):
-                return True
+                for one in value.split():
+                    words = set(SPLIT.split(CAMEL.sub(" ", one).lower())) - {""}
+                    if one.lower() in NOISE_WORDS:
+                        words = {one.lower()}  # sideBar is a sidebar
+                    hit = words & NOISE_WORDS
+                    if not hit or words & BESIDES or self.article_depth and hit <= {"header", "banner"}:
+                        continue
+                    rest = {w for w in words - hit if not w.isdigit()}
+                    if rest <= FURNITURE or not self.article_depth and not rest & CONTENT_WORDS:
+                        return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -91,13 +120,22 @@ class Events(HTMLParser):
         self.open.append(tag)
         if self.noise_at is not None:
             return
-        if self.noise(tag, attrs):
+        named = self.named_noise(tag, attrs)
+        if named and tag in INLINE or self.noise(tag, attrs):
             self.noise_at = len(self.open) - 1
             if block:
                 self.end_line()
             else:
                 self.line[0].append(" ")
             return
+        if self.doubts and (tag == "article" or tag in ("main", "h1") and not self.bounds_open("article")):
+            self.cleared.update(i for _, i in self.doubts)
+        if named:
+            self.doubted += 1
+            self.doubts.append((len(self.open) - 1, self.doubted))
+            if not self.article_depth:
+                self.free.add(self.doubted)
+            self.end_line()
         self.line[1] += 1
         if tag == "a":
             self.links += 1
@@ -109,6 +147,9 @@ class Events(HTMLParser):
             self.holds.append(self.made)
             self.end_line()
 
+    def bounds_open(self, tag: str) -> bool:
+        return any(self.open[i] == tag for i in self.article_depth)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -137,6 +178,10 @@ class Events(HTMLParser):
                 return
             self.noise_at = None
             return
+        if self.doubts and self.doubts[-1][0] >= depth:
+            self.end_line()
+            self.doubts.pop()
+            self.line[5] = tuple(i for _, i in self.doubts)
         if self.article_depth and self.article_depth[-1] >= depth:
             self.article_depth.pop()
         if name == "a":
@@ -190,12 +235,34 @@ def main_text(html: str | None) -> str:
     rows = [(t, line) for line in parser.lines if (t := " ".join("".join(line[0]).split()))]
     if not rows:
         return ""
-    ratios = np.array([max(len(t) - line[2], 0) / (line[1] + 1) for t, line in rows])
-    chosen = clusters(ratios)
+    chosen = clusters(measured(rows))
+    if any(line[5] for _, line in rows):
+        cleared = cleared_of(parser, rows, chosen)
+        rows = [(t, line) for t, line in rows if cleared.issuperset(line[5])]
+        if not rows:
+            return ""
+        chosen = clusters(measured(rows))
     held = [(t, line, bool(c)) for (t, line), c in zip(rows, chosen, strict=True)]
     return " ".join(t for t, _, _ in (within(held, parser.bounds) if parser.bounds else region(held)))
 
 
+def measured(rows: list[tuple[str, list]]) -> np.ndarray:
+    """Text outside links to tags, of each line."""
+    return np.array([max(len(t) - line[2], 0) / (line[1] + 1) for t, line in rows])
+
+
+def cleared_of(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) -> set[int]:
+    """Doubted containers that are content: they hold an article, main or h1, or most of the clustered text."""
+    weight: dict[int, int] = {}
+    total = 0
+    for (t, line), c in zip(rows, chosen, strict=True):
+        if c:
+            total += len(t)
+            for i in line[5]:
+                weight[i] = weight.get(i, 0) + len(t)
+    return parser.cleared | {i for i, w in weight.items() if i in parser.free and 2 * w > total}
+
+
 def within(held: list[tuple[str, list, bool]], bounds: dict[int, str]) -> list[tuple[str, list, bool]]:
     """All lines of the article or main element with most clustered text, and the headline of the main around an article.
 
@@ -238,7 +305,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     A standard-library parser streams the page; every block becomes a line with
     its text and tag counts. Menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles and comments are recognised by element, role, class or
-    id and left out. Ratios of text to tags are smoothed and cut at a threshold.
+    id and left out; what only a role, class or id calls so stays if it holds an
+    article, main or h1 or most of the clustered text. Ratios of text to tags are smoothed and cut at a threshold.
     Where a page has article or main elements, the one with most clustered text is
     kept whole; elsewhere the smallest container of all clustered lines and h1
     headlines, less blocks of links before and behind them.

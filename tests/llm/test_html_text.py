@@ -36,6 +36,21 @@ WHOLE = [
 def test_nothing_of_the_article_is_lost(page, want):
     assert html_text.main_text(page) == want
 
+NAMED = [
+    (f"<div class='layout has-sidebar'><article><p>{WORDS}</p></article></div>", WORDS),
+    (f"<div class='content-with-nav'><p>{WORDS}</p></div>", WORDS),
+    (f"<div id='no-comments'><main><p>{WORDS}</p></main></div>", WORDS),
+    (f"<div class='social-wrapper'><h1>T</h1><p>{WORDS}</p></div>", f"T {WORDS}"),
+    (f"<div class='promo'><p>{WORDS}</p><p>{WORDS}</p></div><div class='promo'><p>small</p></div>", f"{WORDS} {WORDS}"),
+    (f"<article><p class='teaser'>first</p><p>{WORDS}</p><div id='legal-notice-analysis'><p>last</p></div><div class='share-buttons'><p>no</p></div></article>", f"first {WORDS} last"),
+    (f"<article><p>{WORDS}</p><div id='comments'><p>{WORDS} {WORDS}</p></div></article>", WORDS),
+]
+
+
+@pytest.mark.parametrize("page, want", NAMED)
+def test_names_do_not_hide_articles(page, want):
+    assert html_text.main_text(page) == want
+
 
 @pytest.mark.parametrize("page, want", PAGES)
 def test_pages(page, want):
