@@ -63,7 +63,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     endpoint) are reported only if a part of another role lies within ``scope``
     characters in the same text: an endpoint needs an identifier or secret beside
     it, a bare key an identifier or endpoint, an identifier a secret or endpoint.
-    Two weak parts support each other only if one of them is not an endpoint.
+    So any two parts of different roles support each other, weak or not.
 
     Parts are binned by ``scope``: an interval join on (row, bin) meets parts of
     the same or a neighbouring bin and reduces to "has a partner", so no pairs are
@@ -82,15 +82,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     busy = found.where(F.size("weak") > 0)
     part = busy.select("row_id", F.explode(F.concat("base", "weak")).alias("p")).select("row_id", "p.*")
     roles = F.array(*[F.lit(ROLE[k]) for k in KINDS])
-    part = part.withColumn("role", F.element_at(roles, F.col("kind") + 1)).withColumn("strong", F.col("kind") < len(BASE))
+    part = part.withColumn("role", F.element_at(roles, F.col("kind") + 1))
     # a part covers the bins from its start less the scope to its end, a partner stands in the bin of its start
-    left = part.where(~F.col("strong")).withColumn("bin", F.explode(F.expr(f"sequence(cast(floor((start - {scope}) / {scope}) as int), cast(floor((end + {scope}) / {scope}) as int))")))
+    left = part.where(F.col("kind") >= len(BASE)).withColumn("bin", F.explode(F.expr(f"sequence(cast(floor((start - {scope}) / {scope}) as int), cast(floor((end + {scope}) / {scope}) as int))")))
     right = part.select(
-        F.col("row_id").alias("r"), F.explode(F.expr(f"sequence(cast(floor(start / {scope}) as int), cast(floor((end - 1) / {scope}) as int))")).alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("o"), F.col("strong").alias("t")
+        F.col("row_id").alias("r"), F.explode(F.expr(f"sequence(cast(floor(start / {scope}) as int), cast(floor((end - 1) / {scope}) as int))")).alias("b"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("o")
     )
     near = (F.col("s") <= F.col("end") + scope) & (F.col("e") >= F.col("start") - scope)
     apart = (F.col("e") <= F.col("start")) | (F.col("s") >= F.col("end"))
-    other = (F.col("o") != F.col("role")) & (F.col("t") | (F.col("o") != "endpoint"))
+    other = F.col("o") != F.col("role")
     linked = left.join(right, (F.col("row_id") == F.col("r")) & (F.col("bin") == F.col("b")) & near & apart & other, "left_semi")
     linked = linked.select("row_id", F.struct("start", "kind", "end").alias("p")).groupBy("row_id").agg(F.collect_set("p").alias("linked"))
     joined = found.join(linked.withColumnRenamed("row_id", "r"), F.col("row_id") == F.col("r"), "left")

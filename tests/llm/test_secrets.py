@@ -69,3 +69,9 @@ def test_cases(spark):
     assert secrets.scan(df.limit(0)).count() == 0
     many = " ".join(f"{STRONG} {KEY}" for _ in range(500))
     assert len(scan(spark, [(1, many)])[1].spans) == 1000
+
+
+def test_endpoints_support_other_parts(spark):
+    rows = [(1, f"{KEY} https://h.example.com"), (2, f"{IDENT} at https://h.example.com"), (3, "https://a.example.com https://b.example.com"), (4, f"{IDENT} {IDENT}")]
+    got = {i: [k for k, _, _ in spans(r)] for i, r in scan(spark, rows).items()}
+    assert got == {1: ["key", "endpoint"], 2: ["ident", "endpoint"], 3: [], 4: []}
