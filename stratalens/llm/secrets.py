@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, row_id
@@ -19,10 +19,13 @@ BASE = {
 }
 #: Parts that say little alone: a bare 40-character key, an identifier of temporary or other accounts, an endpoint.
 WEAK = {
-    "key": (r"(?<![A-Za-z0-9+/_=.-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/_=.-])", 40, r"[A-Za-z0-9+/]{40}"),
+    "key": (r"(?<![A-Za-z0-9+/_.-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/_=.-])", 40, r"[A-Za-z0-9+/]{40}"),
     "ident": (r"(?<![A-Z0-9])((?:ASIA|AROA|AIDA|AGPA|AIPA|ANPA)[A-Z0-9]{16})(?![A-Z0-9])", 20, r"(?:ASIA|AROA|AIDA|AGPA|AIPA|ANPA)[A-Z0-9]{16}"),
     "endpoint": (r"(?i)\b((?:https?|ftp|amqps?|rediss?|mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[a-z0-9_.:@-]+)", 8, r"(?i)(?:https?|ftp|amqps?|rediss?|mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[a-z0-9_.:@-]"),
 }
+#: A line that sets one name to a value of a few words, or a comment; a configuration block is a run of them.
+LINE = r"""[\x20\t]*+(?:[#;][^\n]*+|(?:(?:export|set)[\x20\t]++|-[\x20\t]++)?+["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?[\x20\t]*+[:=](?:[\x20\t]*+[^\s]++){0,8}+[\x20\t\r]*+)(?:\n|\z)"""
+BLOCK = rf"(?<![^\n])((?:{LINE})++)"
 #: What makes up a credential: an identifier, a secret, a place where they are used.
 ROLE = {"assign": "secret", "access": "ident", "hex": "secret", "key": "secret", "ident": "ident", "endpoint": "endpoint"}
 KINDS = [*BASE, *WEAK]
@@ -63,11 +66,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     endpoint) are reported only if a part of another role lies within ``scope``
     characters in the same text: an endpoint needs an identifier or secret beside
     it, a bare key an identifier or endpoint, an identifier a secret or endpoint.
-    So any two parts of different roles support each other, weak or not.
+    So any two parts of different roles support each other, weak or not. Parts of
+    one configuration block (lines ``name = value`` or ``name: value`` and comments
+    without a blank line or section header between them) do so at any distance.
 
     Parts are binned by ``scope``: an interval join on (row, bin) meets parts of
     the same or a neighbouring bin and reduces to "has a partner", so no pairs are
-    listed; a bin holds few parts since each takes eight characters or more. Texts
+    listed; a bin holds few parts since each takes eight characters or more. Of a
+    block three roles with their outermost positions are enough. Texts
     are read once; what is joined are positions in texts with weak parts.
 
     Returns per input row: row_id, ``id_col`` (long), ``base`` and ``spans``, arrays
@@ -78,7 +84,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     docs = df.select(row_id().alias("row_id"), F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     base = F.array_sort(F.concat(*[spans_of(F.col("text"), k, *BASE[k]) for k in BASE]))
     weak = F.array_sort(F.concat(*[spans_of(F.col("text"), k, *WEAK[k]) for k in WEAK]))
-    found = materialize(docs.select("row_id", "id", base.alias("base"), weak.alias("weak")), "secret-spans")
+    any_weak = "|".join(f"(?:{quick})" for _, _, quick in WEAK.values())
+    blocks = F.transform(spans_of(F.col("text"), KINDS[0], BLOCK, 1, any_weak), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = materialize(docs.select("row_id", "id", base.alias("base"), weak.alias("weak"), blocks.alias("blocks")), "secret-spans")
     busy = found.where(F.size("weak") > 0)
     part = busy.select("row_id", F.explode(F.concat("base", "weak")).alias("p")).select("row_id", "p.*")
     roles = F.array(*[F.lit(ROLE[k]) for k in KINDS])
@@ -92,7 +100,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     apart = (F.col("e") <= F.col("start")) | (F.col("s") >= F.col("end"))
     other = F.col("o") != F.col("role")
     linked = left.join(right, (F.col("row_id") == F.col("r")) & (F.col("bin") == F.col("b")) & near & apart & other, "left_semi")
-    linked = linked.select("row_id", F.struct("start", "kind", "end").alias("p")).groupBy("row_id").agg(F.collect_set("p").alias("linked"))
+    columns = ["row_id", "start", "kind", "end"]
+    block = busy.select("row_id", F.explode("blocks").alias("s")).select("row_id", "s.start", F.lit(None).cast("int").alias("kind"), "s.end", F.lit(None).cast("string").alias("role"))
+    before = Window.partitionBy("row_id").orderBy("start", F.col("kind").isNotNull())
+    last = lambda c: F.last(F.when(F.col("kind").isNull(), F.col(c)), ignorenulls=True).over(before)
+    placed = part.select(*columns, "role").unionByName(block).withColumns({"block": last("start"), "stop": last("end")})
+    placed = placed.where(F.col("kind").isNotNull() & (F.col("end") <= F.col("stop")))
+    roles_of = placed.groupBy(F.col("row_id").alias("r"), F.col("block").alias("b"), F.col("role").alias("o")).agg(F.min("end").alias("e"), F.max("start").alias("s"))
+    inside = placed.where(F.col("kind") >= len(BASE)).join(roles_of, (F.col("row_id") == F.col("r")) & (F.col("block") == F.col("b")) & apart & other, "left_semi")
+    linked = linked.select(*columns).unionByName(inside.select(*columns)).select("row_id", F.struct("start", "kind", "end").alias("p")).groupBy("row_id").agg(F.collect_set("p").alias("linked"))
     joined = found.join(linked.withColumnRenamed("row_id", "r"), F.col("row_id") == F.col("r"), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return joined.select("row_id", F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))

@@ -75,3 +75,19 @@ def test_endpoints_support_other_parts(spark):
     rows = [(1, f"{KEY} https://h.example.com"), (2, f"{IDENT} at https://h.example.com"), (3, "https://a.example.com https://b.example.com"), (4, f"{IDENT} {IDENT}")]
     got = {i: [k for k, _, _ in spans(r)] for i, r in scan(spark, rows).items()}
     assert got == {1: ["key", "endpoint"], 2: ["ident", "endpoint"], 3: [], 4: []}
+
+
+def test_configuration_blocks(spark):
+    """Env files and INI sections: unquoted values, and parts far apart in one block but not across sections or prose."""
+    filler = "".join(f"option_{i} = value {i}\n" for i in range(40))
+    rows = [
+        (1, f"aws_access_key_id={STRONG}\naws_secret_access_key={KEY}\n"),
+        (2, f"[default]\naws_access_key_id = {STRONG}\n{filler}# c\naws_secret_access_key = {KEY}"),
+        (3, f"id={STRONG}\n{filler}\n{filler}value={KEY}\n"),
+        (4, f"export ID={IDENT}\n{filler}export URL=https://h.example.com\n"),
+        (5, f"id: {STRONG} " + "prose " * 60 + f"{KEY}\n"),
+        (6, f"a={KEY}\n{filler}b={KEY}\n"),
+        (7, "é😀\n" + filler * 500 + f"ID={IDENT}\n" + filler * 500 + f"KEY={KEY}\n"),
+    ]
+    got = {i: [k for k, _, _ in spans(r)] for i, r in scan(spark, rows).items()}
+    assert got == {1: ["access", "key"], 2: ["access", "key"], 3: ["access"], 4: ["ident", "endpoint"], 5: ["access"], 6: [], 7: ["ident", "key"]}
