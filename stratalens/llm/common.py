@@ -71,10 +71,19 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
 
 
 def row_id() -> Column:
-    """A number for each row of a file scan, the same in every scan of the same files."""
+    """A number for each row of one scan.
+
+    A second scan may cut its files into other splits, as when an executor was lost
+    or came late: what is numbered once and met again is written first (:func:`numbered`).
+    """
     return F.monotonically_increasing_id()
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with row numbers ``__row``, written once, so that every later step reads the same."""
+    return materialize(df.withColumn("__row", row_id()), tag)
+
+
 def hash_mod(col: Column, n: int, seed: int = 0) -> Column:
     """A bucket 0..n-1 from a 64-bit hash."""
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(n)).cast("int")

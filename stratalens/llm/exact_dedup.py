@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_id
+from .common import materialize, numbered, row_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,7 +23,7 @@ def content_hash(norm: Column) -> Column:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", key: Callable[[Column], Column] = content_hash
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", key: Callable[[Column], Column] = content_hash, row_col: str | None = None
 ) -> DataFrame:
     """Group rows of equal normalised text and choose the one that stays.
 
@@ -38,9 +38,10 @@ def exact_dedup(
     id; null ids lose to any other; rows tied on the id are told apart by their
     place in the scan, so exactly one row of a group is kept. Null text equals
     empty text. An empty table gives an empty result. Further input columns,
-    whatever their names, are not read.
+    whatever their names, are not read. ``row_col``: numbers that the written rows of
+    ``df`` have already.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm")).withColumn("row_id", row_id())
+    docs = df.select((F.col(f"`{row_col}`") if row_col else row_id()).alias("row_id"), F.col(f"`{id_col}`").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm"))
     hashed = docs.withColumn("h", key(F.col("norm")))
     rows = materialize(hashed.select("row_id", "id", "h", F.sha2("norm", 256).alias("sha")), "dedup-rows")
     # collisions and groups are written out: their size is then known, so they are broadcast only if small,
@@ -66,5 +67,6 @@ def exact_dedup(
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``df``, with all their columns, that :func:`exact_dedup` keeps."""
-    gone = materialize(exact_dedup(df, id_col, text_col, keep).where(~F.col("kept")).select(F.col("row_id").alias("__row")), "dedup-gone", gathered=True)
-    return df.withColumn("__row", row_id()).join(gone, "__row", "left_anti").drop("__row")
+    df = numbered(df, "dedup-docs")
+    gone = materialize(exact_dedup(df, id_col, text_col, keep, row_col="__row").where(~F.col("kept")).select(F.col("row_id").alias("__row")), "dedup-gone", gathered=True)
+    return df.join(gone, "__row", "left_anti").drop("__row")

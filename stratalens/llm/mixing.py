@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, row_id
+from .common import WORD, materialize, numbered, row_id
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -109,6 +109,7 @@ def mix(
     blocks: int = 512,
     buckets: int = 1024,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
     """The mix as pieces of documents: words ``words_from``..``words_to`` of a document, in a shard.
 
@@ -125,7 +126,7 @@ def mix(
     gives an empty result; other columns are not read.
     """
     rows = df.select(
-        row_id().alias("row_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+        (F.col(f"`{row_col}`") if row_col else row_id()).alias("row_id"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size")
     )
     rows = materialize(rows.withColumn("h", hashed(F.col("id"), seed)).withColumn("bucket", F.pmod(F.shiftright("h", 16), F.lit(buckets)).cast("int")), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
@@ -169,15 +170,16 @@ def apply_mix(df: DataFrame, text_col: str = "text", length_col: str = "n_chars"
     A document that a pass takes whole keeps its text; of others the taken words
     remain, joined by one space; ``length_col`` is counted again.
     """
-    pieces = mix(df, text_col=text_col, **options)
+    columns, kind = df.columns, dict(df.dtypes)
+    df = numbered(df, "mix-docs")
+    pieces = mix(df, text_col=text_col, row_col="__row", **options)
     spans = F.sort_array(F.collect_list(F.struct("words_from", "words_to")))
     own = pieces.where("epoch is not null").groupBy("row_id", "epoch", "size").agg(spans.alias("__spans"), F.sum(F.col("words_to") - F.col("words_from")).alias("__taken"))
     own = own.select(F.col("row_id").alias("__row"), "__spans", (F.col("__taken") == F.col("size")).alias("__whole"))
-    joined = df.withColumn("__row", row_id()).join(own, "__row")
+    joined = df.join(own, "__row")
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["words_from"] + 1).cast("int"), (s["words_to"] - s["words_from"]).cast("int")))), " ")
     joined = joined.withColumn("__words", F.when(~F.col("__whole"), words)).withColumn(text_col, F.when(F.col("__whole"), F.col(text_col)).otherwise(cut))
-    kind = dict(df.dtypes)
     if length_col in kind:
         joined = joined.withColumn(length_col, F.length(text_col).cast(kind[length_col]))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[F.col(f"`{c}`") for c in columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, give_back, materialize, row_id, slices, small_batches
+from .common import dealt_anew, give_back, materialize, numbered, row_id, slices, small_batches
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -225,7 +225,7 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 512
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 512, row_col: str | None = None
 ) -> DataFrame:
     """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
 
@@ -240,9 +240,13 @@ def near_duplicates(
     class), class_size, kept (one row of each class: that of the smallest id, null
     ids last, then the first of the scan). Texts without words (null, empty, white
     space) are classes of their own. Repeated rows are one class. An empty table
-    gives an empty result; other columns are not read.
+    gives an empty result; other columns are not read. ``row_col``: numbers that the
+    written rows of ``df`` have already.
     """
-    docs = df.select(row_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    number = F.col(f"`{row_col}`") if row_col else row_id()
+    docs = df.select(number.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    if not row_col:
+        docs = materialize(docs, "near-docs")  # texts are read again by these numbers
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -296,6 +300,7 @@ def near_duplicates(
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of ``df``, with all their columns, that :func:`near_duplicates` keeps."""
-    found = near_duplicates(df, id_col, text_col, **options)
+    df = numbered(df, "near-docs")
+    found = near_duplicates(df, id_col, text_col, row_col="__row", **options)
     gone = materialize(found.where(~F.col("kept")).select(F.col("row_id").alias("__row")), "near-gone", gathered=True)
-    return df.withColumn("__row", row_id()).join(gone, "__row", "left_anti").drop("__row")
+    return df.join(gone, "__row", "left_anti").drop("__row")

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratalens.llm import graph, near_dup, queries
+from stratalens.llm import exact_dedup, graph, mixing, near_dup, queries
 
 
 def bag(t, width=5):
@@ -97,3 +97,28 @@ def test_components(spark):
     got = {r.u: r.v for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 200: 100}
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_stay_the_same_when_splits_change(spark, tmp_path, monkeypatch):
+    """Files are cut into other splits after the first table is written, as after the loss of an executor."""
+    texts = [f"w{i % 20} " + " ".join(f"t{i % 20}x{k}" for k in range(40)) + (" end" if i >= 20 else "") for i in range(40)]
+    exact = [t.removesuffix(" end") for t in texts]
+    for name, held in (("near", texts), ("exact", exact)):
+        spark.createDataFrame([(i, t, "a", len(t)) for i, t in enumerate(held)], "doc_id long, text string, source string, n_chars long").repartition(8, "doc_id").write.parquet(f"{tmp_path}/{name}")
+    size = "spark.sql.files.maxPartitionBytes"
+    before, real = spark.conf.get(size), near_dup.materialize
+    for module, run, name in ((near_dup, near_dup.keep_one, "near"), (exact_dedup, exact_dedup.keep_one, "exact"), (mixing, mixing.apply_mix, "exact")):
+
+        def shifted(*args, **kwargs):
+            out = real(*args, **kwargs)
+            spark.conf.set(size, "64k")
+            return out
+
+        read = lambda: sorted(map(tuple, run(spark.read.parquet(f"{tmp_path}/{name}")).collect()))  # noqa: B023, E731
+        want = read()
+        monkeypatch.setattr(module, "materialize", shifted)
+        try:
+            assert read() == want, module.__name__
+        finally:
+            spark.conf.set(size, before)
+            monkeypatch.setattr(module, "materialize", real)
