@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,76 +15,154 @@ from .common import materialize, row_id
 FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def window_factor(count: int, need: int, miss: float) -> float:
+    """Half-width, in distances, of windows that a point collides in ``need`` of ``count`` times, but for a chance of ``miss``.
+
+    A Gaussian projection moves a point at distance d by d times a standard normal
+    number, so it stays within w with probability p = erf(w / d / sqrt 2), and the
+    number of its collisions is binomial. With ``miss`` 0 no width is enough.
+    """
+    if miss <= 0:
+        return math.inf
+    ways = [math.lgamma(count + 1) - math.lgamma(i + 1) - math.lgamma(count - i + 1) for i in range(need)]
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        x = (low + high) / 2
+        inside, outside = math.log(max(math.erf(x / math.sqrt(2)), 1e-300)), math.log(max(math.erfc(x / math.sqrt(2)), 1e-300))
+        missed = sum(math.exp(w + i * inside + (count - i) * outside) for i, w in enumerate(ways))
+        low, high = (x, high) if missed > miss else (low, x)
+    return high
+
+
 class Projections:
-    """Sorted arrays of one random projection each, over the vectors of a block.
+    """Sorted arrays of one random projection each, over the vectors of one range of norms.
 
     Inner products become distances by one more coordinate: with R the largest
     norm, x is placed at (x, sqrt(R^2 - |x|^2)) / R and a query at (q, 0) / |q|, so
     that the nearest point has the largest product.
     """
 
-    def __init__(self, vectors: np.ndarray, radius: float, count: int, seed: int) -> None:
+    def __init__(self, vectors: np.ndarray, radius: float, count: int, need: int, miss: float, seed: int) -> None:
         n, d = vectors.shape
         self.directions = np.random.default_rng(seed).standard_normal((d + 1, count))
         square = np.einsum("ij,ij->i", vectors, vectors)
         rest = np.sqrt(np.maximum(radius * radius - square, 0.0))
-        placed = ((vectors @ self.directions[:d] + rest[:, None] * self.directions[d]) / radius).T
-        order = np.argsort(placed, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(placed, order, axis=1)
-        self.ranks = np.empty(order.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)  # of each place, in each sorted array
-        np.put_along_axis(self.ranks, order, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
-        self.vectors, self.radius, self.n, self.count = vectors, radius, n, count
-
-    def collisions(self, low: list[int], high: list[int]) -> np.ndarray:
-        """In how many sorted arrays each place lies in the window low..high (end exclusive)."""
+        placed = ((vectors @ self.directions[:d] + rest[:, None] * self.directions[d]) / radius).T.astype(np.float32)
+        self.order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(placed, self.order, axis=1)
+        self.ranks = np.empty(self.order.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)  # of each place, in each sorted array
+        np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
+        self.vectors, self.radius, self.n, self.count, self.need = vectors, radius, n, count, need
+        self.factor = window_factor(count, need, miss)
+
+    def recount(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Collisions of every place in the windows low..high (projections x queries) into ``counts`` (queries x places)."""
         kind = self.ranks.dtype.type
-        total = np.zeros(self.n, dtype=np.uint8 if self.count < 256 else np.uint16)
-        off, hit = np.empty(self.n, dtype=kind), np.empty(self.n, dtype=bool)
-        ones = hit.view(np.uint8) if total.dtype == np.uint8 else hit
-        for rank, a, b in zip(self.ranks, low, high, strict=True):
-            np.subtract(rank, kind(a), out=off)  # wraps round below the window
-            np.less(off, kind(b - a), out=hit)
-            np.add(total, ones, out=total)
-        return total
-
-    def search(self, queries: np.ndarray, own: np.ndarray, top: int, enough: int, width: float, grow: float, margin: float) -> list[np.ndarray | None]:
-        """For each query places that hold its best ``top``, or None if it needs them all; ``own`` is the query's place or -1.
+        counts[:] = 0
+        off, hit = np.empty(counts.shape, dtype=kind), np.empty(counts.shape, dtype=bool)
+        for rank, a, b in zip(self.ranks, low.astype(kind), (high - low).astype(np.int64), strict=True):
+            np.subtract(rank[None, :], a[:, None], out=off)  # wraps round below the window
+            np.less(off, np.minimum(b, np.iinfo(kind).max).astype(kind)[:, None], out=hit)
+            np.add(counts, hit.view(np.uint8), out=counts)
+
+    def entered(self, counts: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Add the collisions of one query's windows grown from ``old`` to ``new`` (rows low, high); the places that entered any."""
+        parts = [self.order[i, a:b] for i, ends in enumerate(zip(new[0].tolist(), old[0].tolist(), old[1].tolist(), new[1].tolist(), strict=True)) for a, b in (ends[:2], ends[2:]) if a < b]
+        if not parts:
+            return np.zeros(0, np.int64)
+        places = np.concatenate(parts)
+        if len(places) > self.n // 4:
+            times = np.bincount(places, minlength=self.n)
+            counts += times.astype(counts.dtype)
+            return np.flatnonzero(times)
+        places, times = np.unique(places, return_counts=True)
+        counts[places] += times.astype(counts.dtype)
+        return places
+
+    def search(self, queries: np.ndarray, norms: np.ndarray, own: np.ndarray, bests: list[Best], width: float, grow: float, ahead: int) -> None:
+        """Add to ``bests`` the places nearest to each query; ``own`` is the query's place or -1.
 
         Every projection has a window centred on the query, found in its sorted
-        array; virtual rehashing widens all windows by the factor ``grow``. A place
-        that collides in half of the projections is verified. With the half-width w
-        all others lie outside m = count - need + 1 windows or more, so their
-        distance is at least w * sqrt(m) / s, s being the largest singular value of
-        the directions. The search of a query ends when the last of its ``top``
-        verified places is ``margin`` times closer than that bound. Windows that
-        pass ``enough`` places, or hold everything, separate too poorly: None.
+        array. Virtual rehashing widens all windows by ``grow``. A place that
+        collides in ``need`` windows or more is verified, and so are each time the
+        ``ahead`` places with most collisions, to learn early how near neighbours
+        are. With t the distance of the last of the best ``top``, windows need not be
+        wider than ``factor`` * t: a place nearer than t would have been verified, but
+        for a chance of ``miss``. A query ends at that width, or when all its windows
+        hold everything. Only places that enter a window are counted; where they are
+        a large part of all, ranks are compared with the windows, which counts the same.
         """
-        norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        asked = (queries @ self.directions[:-1] / norms[:, None]).T
-        need = -(-self.count // 2)
-        reach = np.sqrt(self.count - need + 1) / np.linalg.norm(self.directions, 2)
-        live = np.arange(len(queries))
-        out: list = [None] * len(queries)
+        limit = np.array([self.factor * best.distance(n, self.radius) for best, n in zip(bests, norms.tolist(), strict=True)])
+        live = np.flatnonzero(limit >= 0)
+        asked = (queries @ self.directions[:-1] / norms[:, None]).T.astype(np.float32)
+        counts = np.zeros((len(queries), self.n), dtype=np.uint16)
+        verified = np.zeros((len(queries), self.n), dtype=bool)
+        verified[np.flatnonzero(own >= 0), own[own >= 0]] = True
+        low = high = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, asked, strict=True)])
         while len(live):
-            low, high = (np.stack([np.searchsorted(s, q, side) for s, q in zip(self.sorted, asked[:, live] + w, strict=True)]) for w, side in ((-width, "left"), (width, "right")))
+            reach = np.minimum(width, limit)
+            wide = reach[live].astype(np.float32)
+            before = low, high
+            low, high = low.copy(), high.copy()
+            for s, a, at, to in zip(self.sorted, asked[:, live], low, high, strict=True):
+                at[live] = np.minimum(at[live], np.searchsorted(s, a - wide))
+                to[live] = np.maximum(to[live], np.searchsorted(s, a + wide, "right"))
+            sizes = (high - low).sum(axis=0) - (before[1] - before[0]).sum(axis=0)
+            many = live[sizes[live] * 8 >= self.n * self.count]
+            if len(many):
+                counted = np.empty((len(many), self.n), dtype=np.uint16)
+                self.recount(counted, low[:, many], high[:, many])
+                counts[many] = counted
             stay = []
-            for j, i in enumerate(live.tolist()):
-                passed = np.flatnonzero(self.collisions(low[:, j].tolist(), high[:, j].tolist()) >= need)
-                if len(passed) >= min(enough, self.n):
-                    continue
-                passed = passed[passed != own[i]]
-                if len(passed) >= top and self.close(self.vectors[passed] @ queries[i], norms[i], top, width * reach / margin):
-                    out[i] = passed
+            for i in live.tolist():
+                full = int((high[:, i] - low[:, i]).min()) >= self.n
+                if sizes[i] * 8 >= self.n * self.count:
+                    new = np.flatnonzero(~verified[i])
                 else:
+                    new = self.entered(counts[i], np.stack([before[0][:, i], before[1][:, i]]), np.stack([low[:, i], high[:, i]]))
+                    new = new[~verified[i][new]]
+                held = counts[i][new]
+                some = held >= self.need
+                if len(new) - int(some.sum()) > ahead:
+                    left = np.flatnonzero(~some)
+                    some[left[np.argpartition(held[left], len(left) - ahead)[len(left) - ahead :]]] = True
+                else:
+                    some[:] = True
+                new = new[some]
+                if len(new):
+                    verified[i][new] = True
+                    bests[i].add(new, self.vectors[new], queries[i])
+                limit[i] = self.factor * bests[i].distance(norms[i], self.radius)
+                if reach[i] < limit[i] and not full:
                     stay.append(i)
             live = np.array(stay, dtype=np.int64)
             width *= grow
-        return out
 
-    def close(self, scores: np.ndarray, norm: float, top: int, distance: float) -> bool:
-        """Whether ``top`` of the verified products lie within the distance."""
-        least = np.partition(scores, len(scores) - top)[len(scores) - top]
-        return 2.0 - 2.0 * least / (norm * self.radius) <= distance * distance
+
+class Best:
+    """The best places of a query so far, over ranges of norms."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, top: int) -> None:
+        self.rows, self.ids, self.top = rows, ids, top
+        self.places: np.ndarray = np.zeros(0, np.int64)
+        self.scores: np.ndarray = np.zeros(0)
+        self.of: np.ndarray | None = None  # places of the range that is being searched
+
+    def add(self, at: np.ndarray, vectors: np.ndarray, query: np.ndarray) -> None:
+        places = np.concatenate([self.places, self.of[at]])
+        scores = np.concatenate([self.scores, np.einsum("ij,j->i", vectors, query)])  # row by row, so that equal vectors tie
+        if len(places) > 4 * self.top:
+            cut = np.partition(scores, len(scores) - self.top)[len(scores) - self.top]
+            places, scores = places[scores >= cut], scores[scores >= cut]
+        order = np.lexsort((self.rows[places], self.ids[places], -scores))[: self.top]
+        self.places, self.scores = places[order], scores[order]
+
+    def distance(self, norm: float, radius: float) -> float:
+        """How far, in a range of this radius, a place may lie that ties the last of the best; below 0: none can."""
+        if len(self.scores) < self.top:
+            return math.inf
+        square = 2.0 - 2.0 * self.scores[-1] / (norm * radius)
+        return math.sqrt(square) if square > 0 else (1e-6 if square > -1e-9 else -1.0)  # products of one pair differ by rounding
 
 
 def norm_ranges(norms: np.ndarray, ratio: float = 0.5) -> list[np.ndarray]:
@@ -98,51 +177,32 @@ def norm_ranges(norms: np.ndarray, ratio: float = 0.5) -> list[np.ndarray]:
 
 
 def search_block(
-    rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, radius: float, top: int, projections: int, verify: float, least: int, width: float, grow: float, margin: float, seed: int, batch: int = 64
+    rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, top: int, projections: int, threshold: float, miss: float, width: float, grow: float, ahead: int, seed: int, cells: int = 1 << 19
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the best ``top`` of a block: (query place, places, scores). ``rows`` ascend.
 
-    Each range of norms is indexed with its own radius, ``radius`` bounding all. Ranges
-    are taken by falling norm; a query leaves out those whose radius times its norm is
-    less than its last product. Where windows prove nothing the range is scanned whole.
+    Each range of norms is indexed with its own radius. Ranges are taken by falling
+    norm; a query leaves out those whose radius times its norm is less than its last
+    product. Queries go in batches that have about ``cells`` counters.
     """
     lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    need = max(1, round(threshold * projections))
     parts = []
     for places in norm_ranges(lengths):
-        enough = max(int(verify * len(places)), least)
-        largest, x = min(float(lengths[places].max()), radius), vectors[places]
-        parts.append((places, x, largest, enough, Projections(x, largest, projections, seed) if enough < len(places) else None))
+        x = np.ascontiguousarray(vectors[places])
+        parts.append((places, rows[places], Projections(x, float(lengths[places].max()), projections, need, miss, seed)))
+    batch = max(1, cells // len(rows))
     for start in range(0, len(queries), batch):
         part, mine = queries[start : start + batch], query_rows[start : start + batch]
         norms = np.sqrt(np.einsum("ij,ij->i", part, part))
-        found: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(part)
-        for places, x, largest, enough, index in parts:
-            # products of one pair differ by rounding, so bounds give way a little
-            open_ = np.array([i for i, (_, s) in enumerate(found) if len(s) < top or s.min() <= norms[i] * largest * (1 + 1e-9)], dtype=np.int64)
-            if not len(open_):
-                break
-            at = np.minimum(np.searchsorted(rows[places], mine[open_]), len(places) - 1)
-            own = np.where(rows[places][at] == mine[open_], at, -1)
-            held = index.search(part[open_], own, top, enough, width, grow, margin) if index else [None] * len(open_)
-            whole = np.array([j for j, h in enumerate(held) if h is None], dtype=np.int64)
-            products = dict(zip(whole.tolist(), part[open_[whole]] @ x.T, strict=True))
-            for j, i in enumerate(open_.tolist()):
-                if j in products:
-                    scores = products[j]
-                    if own[j] >= 0:
-                        scores[own[j]] = -np.inf
-                    k = min(top, len(scores))
-                    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    near = np.flatnonzero((scores >= cut - 1e-9 * norms[i] * largest) & (scores > -np.inf))
-                else:
-                    near = held[j]
-                old, before = found[i]
-                all_ = np.concatenate([old, places[near]])
-                scores = np.concatenate([before, np.einsum("ij,j->i", x[near], part[i])])  # row by row, so that equal vectors tie
-                best = np.lexsort((rows[all_], ids[all_], -scores))[:top]
-                found[i] = all_[best], scores[best]
-        for i, (places, scores) in enumerate(found):
-            yield start + i, places, scores
+        bests = [Best(rows, ids, top) for _ in part]
+        for places, of, index in parts:
+            at = np.minimum(np.searchsorted(of, mine), len(places) - 1)
+            for best in bests:
+                best.of = places
+            index.search(part, norms, np.where(of[at] == mine, at, -1), bests, width, grow, ahead)
+        for i, best in enumerate(bests):
+            yield start + i, best.places, best.scores
 
 
 def nearest(
@@ -151,14 +211,14 @@ def nearest(
     vector_col: str = "embedding",
     every: int = 20,
     top: int = 20,
-    components: int = 4 << 20,
-    query_block: int = 1024,
-    projections: int = 128,
-    verify: float = 0.08,
-    least: int = 512,
+    components: int = 1 << 20,
+    query_block: int = 512,
+    projections: int = 256,
+    threshold: float = 0.65,
+    miss: float = 0.03,
     width: float = 0.2,
-    grow: float = 1.35,
-    margin: float = 1.3,
+    grow: float = 2.0,
+    ahead: int = 80,
     seed: int = 11,
 ) -> DataFrame:
     """The ``top`` rows of largest inner product for each query: query_id, rank, vec_id, score.
@@ -167,12 +227,19 @@ def nearest(
     but the query's own. All rows are indexed: they are dealt by hash into blocks of
     about ``components`` numbers, queries into blocks of ``query_block``; a task takes
     one block of each, cuts its vectors into ranges of norms, sorts ``projections``
-    projections of each range and widens windows around each query until a bound
-    proves that no other vector is nearer (:meth:`Projections.search`). A query whose
-    windows pass ``verify`` of a range or ``least`` vectors without that is compared
-    with the whole range, so the result is exact. Products are in double precision.
-    Each block gives its best ``top``, and a window over blocks gives the final
-    ones. Ties go to the smaller id, then the earlier row.
+    projections of each range and widens windows around each query
+    (:meth:`Projections.search`). A vector that lies in ``threshold`` of the windows
+    or more is verified by its product, in double precision. There is no cap: windows
+    widen until a vector among the true ``top`` would have been verified with
+    probability 1 - ``miss``, whatever the data and the size of the block. That holds
+    for each neighbour of each query, so recall is 1 - ``miss`` or more on average;
+    ``miss`` 0 widens until every vector is verified, which is exact. Each block
+    gives its best ``top``, and a window over blocks gives the final ones. Ties go to
+    the smaller id, then the earlier row.
+
+    Work: vectors in tight groups leave after narrow windows, whose few entries are
+    counted one by one. Over isolated vectors in many dimensions windows have to hold
+    half of all vectors, so work grows with queries times rows, like a plain scan.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and
     rows with null id, take no part. Vectors of different lengths never meet. Of
@@ -184,15 +251,14 @@ def nearest(
     rows = df.select(row_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
     sound = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = materialize(rows.where(sound).withColumn("d", F.size("v")), "ann-rows")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    facts = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(square).alias("most"), F.count_if(F.col("id") % every == 0).alias("q"))
-    facts = facts.select("d", F.sqrt("most").alias("radius"), F.ceil(F.col("n") * F.col("d") / components).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("q") / query_block), F.lit(1)).cast("int").alias("qblocks"))
+    facts = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q"))
+    facts = facts.select("d", F.ceil(F.col("n") * F.col("d") / components).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("q") / query_block), F.lit(1)).cast("int").alias("qblocks"))
     known = rows.join(materialize(facts, "ann-facts", gathered=True), "d")  # one row for each vector length, read back with its size known
     queries = known.where(F.col("id") % every == 0).withColumn("j", F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("qblocks").cast("long")))
     own = known.withColumn("i", F.pmod(F.xxhash64(F.lit(seed + 1), "row"), F.col("blocks").cast("long"))).withColumn("j", F.explode(F.expr("sequence(0L, qblocks - 1L)")))
     asked = queries.withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    columns = ["d", "i", "j", "row", "id", "v", "radius"]
-    options = {"projections": projections, "verify": verify, "least": least, "width": width, "grow": grow, "margin": margin, "seed": seed}
+    columns = ["d", "i", "j", "row", "id", "v"]
+    options = {"projections": projections, "threshold": threshold, "miss": miss, "width": width, "grow": grow, "ahead": ahead, "seed": seed}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -201,7 +267,7 @@ def nearest(
         place = np.argsort(left.column("row").to_numpy())
         own_rows, ids, x = left.column("row").to_numpy()[place], left.column("id").to_numpy()[place], x[place]
         asked_rows, asked_ids = right.column("row").to_numpy(), right.column("id").to_numpy()
-        got = list(search_block(own_rows, ids, x, asked_rows, q, left.column("radius")[0].as_py(), top, **options))
+        got = list(search_block(own_rows, ids, x, asked_rows, q, top, **options))
         at = np.concatenate([a for _, a, _ in got]).astype(np.int64)
         who = np.repeat(np.array([i for i, _, _ in got]), [len(a) for _, a, _ in got]).astype(np.int64)
         arrays = [asked_rows[who], asked_ids[who], own_rows[at], ids[at], np.concatenate([s for _, _, s in got])]

@@ -15,32 +15,85 @@ def brute(ids, x, every=20, top=20):
     return out
 
 
-def test_recall_on_one_block():
-    rng = np.random.default_rng(1)
-    centres = rng.standard_normal((60, 48))
-    x = np.concatenate([np.repeat(centres, 25, 0) + 0.05 * rng.standard_normal((1500, 48)), rng.standard_normal((4500, 48))])
-    x = rng.permutation(x) * rng.uniform(0.5, 2.0, (6000, 1))
-    ids = np.arange(6000)
-    q = ids[ids % 20 == 0]
-    radius = float(np.sqrt((x * x).sum(1).max()))
-    found = ann.search_block(ids, ids, x, q, x[q], radius, 20, projections=128, verify=0.08, least=512, width=0.2, grow=1.35, margin=1.3, seed=11)
-    want = brute(ids, x)
+#: The production parameters of one block.
+OPTIONS = {"projections": 256, "threshold": 0.65, "miss": 0.03, "width": 0.2, "grow": 2.0, "ahead": 80, "seed": 11}
+
+
+def vectors(kind, n, d):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, d))
+    if kind == "gauss":
+        return x
+    if kind == "clustered":
+        x = np.repeat(rng.standard_normal((n // 40, d)), 40, 0) + 0.05 * x
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if kind == "one long":
+        x[17] *= 5.0
+    if kind == "lognormal":
+        x *= rng.lognormal(0.0, 0.5, (n, 1))
+    return x
+
+
+@pytest.mark.parametrize("kind, n, d", [("unit", 500, 64), ("unit", 2000, 64), ("gauss", 5000, 64), ("clustered", 4000, 64), ("lognormal", 4000, 64), ("one long", 4000, 64), ("unit", 4000, 384)])
+def test_recall_through_the_index(kind, n, d):
+    """The same rule at every size: no vector is found but by its collisions."""
+    x, ids = vectors(kind, n, d), np.arange(n)
+    q = ids[:: n // 100]
+    found = ann.search_block(ids, ids, x, q, x[q], 20, **OPTIONS)
+    want = brute(ids, x, n // 100)
     hits = [len({j for j, _ in want[int(q[i])]} & set(at.tolist())) / 20 for i, at, _ in found]
-    assert np.mean(hits) >= 0.9
+    assert len(hits) == len(q) and np.mean(hits) >= 0.95 and min(hits) >= 0.7
+
+
+def test_clustered_vectors_need_few_products():
+    x, ids = vectors("clustered", 4000, 64), np.arange(4000)
+    seen = []
+    real = ann.Best.add
+    try:
+        ann.Best.add = lambda self, at, v, q: (seen.append(len(at)), real(self, at, v, q))[1]
+        list(ann.search_block(ids, ids, x, ids[:50], x[:50], 20, **OPTIONS))
+    finally:
+        ann.Best.add = real
+    assert sum(seen) < 0.1 * 50 * 4000
+
+
+def test_copies_rank_by_id():
+    x, ids = np.repeat(vectors("unit", 300, 64), 10, 0), np.arange(3000)[::-1].copy()
+    for i, at, scores in ann.search_block(np.arange(3000), ids, x, np.arange(0, 3000, 60), x[::60], 20, **OPTIONS):
+        own = 60 * i
+        copies = [k for k in range(own // 10 * 10, own // 10 * 10 + 10) if k != own]
+        assert at[:9].tolist() == sorted(copies, key=lambda k: ids[k]) and len(set(scores[:9])) == 1
+        assert all(ids[a] < ids[b] for a, b, s, t in zip(at, at[1:], scores, scores[1:]) if s == t)
 
 
 def test_collisions_count_windows():
     x = np.random.default_rng(0).standard_normal((300, 8))
-    p = ann.Projections(x, float(np.sqrt((x * x).sum(1).max())), 10, 1)
-    low, high = [20] * 10, [90] * 10
+    p = ann.Projections(x, float(np.sqrt((x * x).sum(1).max())), 10, 6, 0.03, 1)
+    low, high = np.full((10, 1), 20), np.full((10, 1), 90)
     want = np.zeros(300, int)
     for k in range(10):
-        want[np.argsort(p.ranks[k])[20:90]] += 1
-    assert (p.collisions(low, high) == want).all()
-    assert (p.collisions([0] * 10, [300] * 10) == 10).all()
-
-
-@pytest.mark.parametrize("components", [4 << 20, 64 * 100])
+        want[p.order[k, 20:90]] += 1
+    counts = np.zeros((1, 300), np.uint16)
+    p.recount(counts, low, high)
+    assert (counts[0] == want).all()
+    p.recount(counts, low * 0, low * 0 + 300)
+    assert (counts == 10).all()
+    step, middle = np.zeros(300, np.uint16), np.full(10, 50)
+    for a, b in ((45, 55), (45, 55), (20, 90)):
+        new = np.stack([np.full(10, a), np.full(10, b)])
+        p.entered(step, middle if middle.ndim == 2 else np.stack([middle, middle]), new)
+        middle = new
+    assert (step == want).all()
+
+
+def test_window_factor_bounds_misses():
+    f = ann.window_factor(256, 166, 0.03)
+    hits = (np.abs(np.random.default_rng(2).standard_normal((20_000, 256))) <= f).sum(1)
+    assert abs((hits >= 166).mean() - 0.97) < 0.005  # four standard errors
+    assert ann.window_factor(256, 166, 0.0) == float("inf")
+
+
+@pytest.mark.parametrize("components", [1 << 20, 64 * 100])
 def test_table(spark, smallest, components):
     """All in one block, and in several."""
     rows = spark.read.parquet(f"{smallest}/embeddings.parquet").collect()
@@ -73,21 +126,11 @@ def test_query(spark, smallest):
 
 @pytest.mark.parametrize("kind, d", [("one long", 64), ("lognormal", 64), ("unit", 384), ("clustered", 64)])
 def test_exact_where_projections_separate_poorly(kind, d):
-    """Mixed norms and many dimensions: every true neighbour is found."""
-    rng = np.random.default_rng(5)
+    """With a chance of missing of 0, every true neighbour is found."""
     n = 8000
-    x = rng.standard_normal((n, d))
-    if kind == "clustered":
-        x = np.repeat(rng.standard_normal((n // 40, d)), 40, 0) + 0.05 * x
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    if kind == "one long":
-        x[17] *= 5.0
-    if kind == "lognormal":
-        x *= rng.lognormal(0.0, 0.5, (n, 1))
-    ids = np.arange(n)
+    x, ids = vectors(kind, n, d), np.arange(n)
     q = ids[ids % 200 == 0]
-    radius = float(np.sqrt((x * x).sum(1).max()))
-    found = ann.search_block(ids, ids, x, q, x[q], radius, 20, projections=128, verify=0.08, least=512, width=0.2, grow=1.35, margin=1.3, seed=11)
+    found = ann.search_block(ids, ids, x, q, x[q], 20, **(OPTIONS | {"miss": 0.0}))
     want = brute(ids, x, 200)
     for i, at, scores in found:
         assert at.tolist() == [j for j, _ in want[int(q[i])]]
