@@ -54,6 +54,7 @@ class Projections:
         np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
         self.vectors, self.radius, self.n, self.count, self.need = vectors, radius, n, count, need
         self.factor = window_factor(count, need, miss)
+        self.counter = np.uint8 if count < 256 else np.uint16
 
     def recount(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """Collisions of every place in the windows low..high (projections x queries) into ``counts`` (queries x places)."""
@@ -95,7 +96,7 @@ class Projections:
         limit = np.array([self.factor * best.distance(n, self.radius) for best, n in zip(bests, norms.tolist(), strict=True)])
         live = np.flatnonzero(limit >= 0)
         asked = (queries @ self.directions[:-1] / norms[:, None]).T.astype(np.float32)
-        counts = np.zeros((len(queries), self.n), dtype=np.uint16)
+        counts = np.zeros((len(queries), self.n), dtype=self.counter)
         verified = np.zeros((len(queries), self.n), dtype=bool)
         verified[np.flatnonzero(own >= 0), own[own >= 0]] = True
         low = high = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, asked, strict=True)])
@@ -110,7 +111,7 @@ class Projections:
             sizes = (high - low).sum(axis=0) - (before[1] - before[0]).sum(axis=0)
             many = live[sizes[live] * 8 >= self.n * self.count]
             if len(many):
-                counted = np.empty((len(many), self.n), dtype=np.uint16)
+                counted = np.empty((len(many), self.n), dtype=self.counter)
                 self.recount(counted, low[:, many], high[:, many])
                 counts[many] = counted
             stay = []
@@ -212,13 +213,13 @@ def nearest(
     every: int = 20,
     top: int = 20,
     components: int = 1 << 20,
-    query_block: int = 512,
-    projections: int = 256,
+    query_block: int = 1024,
+    projections: int = 160,
     threshold: float = 0.65,
-    miss: float = 0.03,
+    miss: float = 0.06,
     width: float = 0.2,
-    grow: float = 2.0,
-    ahead: int = 80,
+    grow: float = 4.0,
+    ahead: int = 200,
     seed: int = 11,
 ) -> DataFrame:
     """The ``top`` rows of largest inner product for each query: query_id, rank, vec_id, score.
