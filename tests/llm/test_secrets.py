@@ -58,7 +58,7 @@ def test_parts_need_each_other(spark):
         (6, STRONG + " " * 500 + KEY), (7, f"{IDENT} https://h.example.com"), (8, f"{KEY} {KEY}"), (9, "x" * 199 + f" {STRONG} " + "y" * 100 + f" {KEY}"),
     ]
     got = {i: [k for k, _, _ in spans(r)] for i, r in scan(spark, rows).items()}
-    assert got == {1: [], 2: ["access", "key"], 3: ["ident", "key"], 4: [], 5: ["endpoint", "assign"], 6: ["access"], 7: ["endpoint"], 8: [], 9: ["access", "key"]}
+    assert got == {1: [], 2: ["access", "key"], 3: ["ident", "key"], 4: [], 5: ["endpoint", "assign"], 6: ["access"], 7: ["ident", "endpoint"], 8: [], 9: ["access", "key"]}
 
 
 def test_cases(spark):
@@ -91,3 +91,58 @@ def test_configuration_blocks(spark):
     ]
     got = {i: [k for k, _, _ in spans(r)] for i, r in scan(spark, rows).items()}
     assert got == {1: ["access", "key"], 2: ["access", "key"], 3: ["access"], 4: ["ident", "endpoint"], 5: ["access"], 6: [], 7: ["ident", "key"]}
+
+
+WEAK = {
+    "key": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=.-])",
+    "ident": r"(?<![A-Z0-9])(?:ASIA|AROA|AIDA|AGPA|AIPA|ANPA)[A-Z0-9]{16}(?![A-Z0-9])",
+    "endpoint": r"(?ia)\b(?:https?|ftp|amqps?|rediss?|mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[a-z0-9_.:@-]+",
+}
+SETTING = re.compile(r"""[ \t]*([#;].*|((export|set)[ \t]+|-[ \t]+)?["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[ \t]*[:=](?:[ \t]*+\S++){0,8}+[ \t\r]*)""")
+
+
+def linked(t, scope=200):
+    """All pairs of parts: weak parts with one of another role close by or in the same run of settings."""
+    parts = [(a, NAMES[k], b) for a, k, b in base(t)] + [(m.start(), k, m.end()) for k, p in WEAK.items() for m in re.finditer(p, t)]
+    block, at = [], 0
+    runs, inside = [], None
+    for line in t.split("\n"):
+        if SETTING.fullmatch(line):
+            inside = at if inside is None else inside
+        elif inside is not None:
+            runs.append((inside, at))
+            inside = None
+        at += len(line) + 1
+    if inside is not None:
+        runs.append((inside, at))
+    keep = [p for p in parts if p[1] in NAMES]
+    for a, k, b in parts:
+        if k in NAMES:
+            continue
+        for c, o, d in parts:
+            if secrets.ROLE[o] == secrets.ROLE[k] or not (d <= a or c >= b):
+                continue
+            if c <= b + scope and d >= a - scope or any(x <= min(a, c) and max(b, d) <= y for x, y in runs):
+                keep.append((a, k, b))
+                break
+    return sorted((a, secrets.KINDS.index(k), b) for a, k, b in keep)
+
+
+def test_linked_spans_by_brute_force(spark):
+    rnd = random.Random(8)
+    parts = [STRONG, IDENT, KEY, "https://db.example.com:99", "token=abcdef99", "0123456789abcdef" * 2, "prose here ", "x" * 90 + " ", "é😀 " * 40, "name = value\n", "id=", "# c\n", "\n", "\n\n", " ", " ", "[section]\n"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30)))) for i in range(1500)]
+    got = scan(spark, rows)
+    for i, t in rows:
+        assert [(s.start, s.kind, s.end) for s in got[i].spans] == linked(t), ascii(t)
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of matches takes time in proportion, not by its square."""
+    import time
+
+    text = " ".join(f"{i:024x}" for i in range(40_000)) + " token=abcdef" * 40_000
+    began = time.perf_counter()
+    got = scan(spark, [(1, text)])[1]
+    assert time.perf_counter() - began < 30
+    assert [(s.start, s.kind, s.end) for s in got.base] == base(text)
