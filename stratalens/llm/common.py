@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary
-    folder is made once and set, so that a cluster's own setting is never replaced.
+    Where ``spark.checkpoint.dir`` is unset on one machine, as in tests, a temporary
+    folder is made once and set. On a cluster that is an error: a folder of one
+    machine would lose what executors write.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -79,9 +82,17 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
-def numbered(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` with row numbers ``__row``, written once, so that every later step reads the same."""
-    return materialize(df.withColumn("__row", row_id()), tag)
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it, so that no column is called so."""
+    lower = {c.lower() for c in columns}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, tag: str, name: str) -> DataFrame:
+    """``df`` with row numbers in the new column ``name``, written once, so that every later step reads the same."""
+    return materialize(df.withColumn(name, row_id()), tag)
 
 
 def hash_mod(col: Column, n: int, seed: int = 0) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_id
+from .common import dealt_anew, fresh, materialize, numbered, row_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,8 +27,8 @@ def exact_dedup(
 ) -> DataFrame:
     """Group rows of equal normalised text and choose the one that stays.
 
-    Rows are grouped by a 128-bit hash. The bytes inside the groups are compared
-    by grouping on (hash, text), where copies collapse before the shuffle; a hash
+    Rows are grouped by a 128-bit hash. The bytes inside groups of several rows are
+    compared by grouping on (hash, text), where copies collapse before the shuffle; a hash
     that turns out to have several texts is split by the texts' SHA-256. Only
     narrow rows (ids and hashes) are joined back, so a group of any size is a
     counter in the aggregates and a splittable side of one join.
@@ -44,9 +44,11 @@ def exact_dedup(
     docs = df.select((F.col(f"`{row_col}`") if row_col else row_id()).alias("row_id"), F.col(f"`{id_col}`").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm"))
     hashed = docs.withColumn("h", key(F.col("norm")))
     rows = materialize(hashed.select("row_id", "id", "h", F.sha2("norm", 256).alias("sha")), "dedup-rows")
+    # a hash of one row has no collision: only texts whose hash occurs again are compared
+    again = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "dedup-again", gathered=True)
     # collisions and groups are written out: their size is then known, so they are broadcast only if small,
     # and else the rows they join are dealt by key anew, where large keys can be split
-    collided = hashed.groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("split"))
+    collided = hashed.join(dealt_anew(again, "h"), "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h", F.lit(True).alias("split"))
     collided = materialize(collided, "dedup-collided", gathered=True)
     split = F.when(F.col("split"), F.unhex("sha")).otherwise(F.unhex(F.lit("")))
     rows = rows.join(collided, "h", "left").withColumn("part", F.concat("h", split))
@@ -66,7 +68,13 @@ def exact_dedup(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``df``, with all their columns, that :func:`exact_dedup` keeps."""
-    df = numbered(df, "dedup-docs")
-    gone = materialize(exact_dedup(df, id_col, text_col, keep, row_col="__row").where(~F.col("kept")).select(F.col("row_id").alias("__row")), "dedup-gone", gathered=True)
-    return df.join(gone, "__row", "left_anti").drop("__row")
+    """The rows of ``df``, with all their columns whatever their names, that :func:`exact_dedup` keeps.
+
+    One row of each group of equal texts: null and empty texts are one group, null ids
+    lose to others, ties go by the place in the scan. Texts of any length are compared
+    whole; an empty table gives an empty result.
+    """
+    row = fresh(df.columns, "__row")
+    df = numbered(df, "dedup-docs", row)
+    gone = materialize(exact_dedup(df, id_col, text_col, keep, row_col=row).where(~F.col("kept")).select(F.col("row_id").alias(row)), "dedup-gone", gathered=True)
+    return df.join(gone, row, "left_anti").drop(row)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, numbered, row_id
+from .common import WORD, fresh, materialize, numbered, row_id
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -59,6 +59,11 @@ def split(nodes: DataFrame, seed: int) -> DataFrame:
     return halves.select(F.explode(both).alias("half")).select("half.node", "half.blocks")
 
 
+def leaf_quotas(nodes: DataFrame, shards: int) -> DataFrame:
+    """(shard, sid, quota): how many blocks of each source the tree's leaves give each shard."""
+    return nodes.select((F.col("node") - shards).alias("shard"), F.explode("blocks").alias("b")).select("shard", "b.sid", "b.quota")
+
+
 def plan_blocks(sources: DataFrame, shards: int, blocks: int, seed: int) -> DataFrame:
     """Which word blocks of which source are taken, and the shard and place that get them.
 
@@ -67,7 +72,9 @@ def plan_blocks(sources: DataFrame, shards: int, blocks: int, seed: int) -> Data
     random order up to the words still wanted, the last of them in part. The tree
     splits the exact quotas of blocks among ``shards`` (a power of two); then each
     shard draws its number of blocks from the source's permuted blocks, disjoint
-    from the others', and orders them by hash.
+    from the others', and orders them by hash. What all shards together take of a
+    source is its target, whatever their number; the tree decides which shard gets
+    which of these blocks.
 
     One row per taken block: sid, epoch, block, take (words from its start), shard, place.
     """
@@ -86,7 +93,7 @@ def plan_blocks(sources: DataFrame, shards: int, blocks: int, seed: int) -> Data
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "quota"))).alias("blocks")).select(F.lit(1).cast("long").alias("node"), "blocks")
     for _ in range(shards.bit_length() - 1):
         nodes = split(nodes, seed)
-    leaves = nodes.select((F.col("node") - shards).alias("shard"), F.explode("blocks").alias("b")).select("shard", "b.sid", "b.quota")
+    leaves = leaf_quotas(nodes, shards)
     share = leaves.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("shares"))
     share = share.withColumn("ends", F.expr("transform(shares, (x, i) -> aggregate(slice(shares, 1, i + 1), 0L, (a, y) -> a + y.quota))")).select("sid", "ends")
     dealt = each.join(share, "sid").withColumn("shard", F.expr("size(filter(ends, e -> e <= drawn))"))
@@ -115,8 +122,8 @@ def mix(
 
     Columns: row_id, ``id_col``, ``source_col``, size, source_size, target, epoch,
     shard, place, words_from, words_to (end exclusive). A document without a piece
-    has one row with nulls in the last five. Order by (place, row_id) within a
-    shard gives the shuffled shard.
+    has one row with nulls in the last five. Order by (place, row_id, words_from)
+    within a shard gives the shuffled shard: ``place`` hashes block and document.
 
     Sizes are numbers of words (null text: 0); null is a source of its own, the
     last. Offsets in a source's stream come from sums over (source, hash bucket)
@@ -139,7 +146,7 @@ def mix(
     plan = plan_blocks(goal, shards, blocks, seed)
     goal = goal.withColumn("len", F.ceil(F.col("source_size") / F.lit(blocks)).cast("long"))
     placed = placed.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
-    spans = placed.select("row_id", "id", "source", "size", "source_size", "target", "sid", "start", "len", F.explode_outer(F.expr("if(size > 0, sequence(start div len, (start + size - 1) div len), array(cast(null as bigint)))")).alias("block"))
+    spans = placed.select("row_id", "id", "h", "source", "size", "source_size", "target", "sid", "start", "len", F.explode_outer(F.expr("if(size > 0, sequence(start div len, (start + size - 1) div len), array(cast(null as bigint)))")).alias("block"))
     met = spans.join(plan, ["sid", "block"], "left")
     low = F.greatest("start", F.col("block") * F.col("len"))
     high = F.least(F.col("start") + F.col("size"), F.col("block") * F.col("len") + F.col("take"))
@@ -151,35 +158,50 @@ def mix(
         "size",
         "source_size",
         "target",
-        *[F.when(real, F.col(c)).alias(c) for c in ("epoch", "shard", "place")],
+        *[F.when(real, F.col(c)).alias(c) for c in ("epoch", "shard")],
+        F.when(real, F.xxhash64(F.lit(seed + 4), "place", "h", "row_id")).alias("place"),
         F.when(real, low - F.col("start")).alias("words_from"),
         F.when(real, high - F.col("start")).alias("words_to"),
     )
 
 
 def taken(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of :func:`mix`: id, size, source_size, target and the words the mix takes."""
+    """One row per document of :func:`mix`: id, size, source_size, target and the words the mix takes.
+
+    ``pieces`` says where they go: (shard, place, epoch, words_from, words_to), in this order;
+    empty for documents that are not taken.
+    """
     words = F.coalesce(F.sum(F.col("words_to") - F.col("words_from")), F.lit(0)).cast("long")
-    whole = pieces.groupBy("row_id", id_col, "size", "source_size", "target").agg(words.alias("taken"))
+    where = F.when(F.col("epoch").isNotNull(), F.struct("shard", "place", "epoch", "words_from", "words_to"))  # no more than blocks a document meets
+    whole = pieces.groupBy("row_id", id_col, "size", "source_size", "target").agg(words.alias("taken"), F.array_sort(F.collect_list(where)).alias("pieces"))
     return whole.drop("row_id")
 
 
-def apply_mix(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options: object) -> DataFrame:
-    """The mixed documents with the columns of ``df``: a row per document and pass that takes it.
+def apply_mix(df: DataFrame, text_col: str = "text", length_col: str = "n_chars", shards: int = 64, **options: object) -> DataFrame:
+    """The mixed documents with the columns of ``df``, whatever their names: a row per document and pass that takes it.
 
-    A document that a pass takes whole keeps its text; of others the taken words
-    remain, joined by one space; ``length_col`` is counted again.
+    A document that a pass takes whole keeps its text, null too; of others the taken
+    words remain, joined by one space; ``length_col``, if there is one, is counted
+    again. The rows come by shard and, within a shard, in the order of their places:
+    a document is in the shard and at the place of its first words in that pass, ties
+    by row. Written, each file holds part of one shard's order. Empty texts hold no
+    words, so no pass takes them. Repeated rows are documents of their own; an empty
+    table gives an empty result.
     """
     columns, kind = df.columns, dict(df.dtypes)
-    df = numbered(df, "mix-docs")
-    pieces = mix(df, text_col=text_col, row_col="__row", **options)
-    spans = F.sort_array(F.collect_list(F.struct("words_from", "words_to")))
-    own = pieces.where("epoch is not null").groupBy("row_id", "epoch", "size").agg(spans.alias("__spans"), F.sum(F.col("words_to") - F.col("words_from")).alias("__taken"))
-    own = own.select(F.col("row_id").alias("__row"), "__spans", (F.col("__taken") == F.col("size")).alias("__whole"))
-    joined = df.join(own, "__row")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["words_from"] + 1).cast("int"), (s["words_to"] - s["words_from"]).cast("int")))), " ")
-    joined = joined.withColumn("__words", F.when(~F.col("__whole"), words)).withColumn(text_col, F.when(F.col("__whole"), F.col(text_col)).otherwise(cut))
+    row, spans, whole, words, shard, place = (fresh(columns, f"__{x}") for x in ("row", "spans", "whole", "words", "shard", "place"))
+    df = numbered(df, "mix-docs", row)
+    pieces = mix(df, id_col=options.pop("id_col", "doc_id"), text_col=text_col, row_col=row, shards=shards, **options)
+    first = F.min(F.struct("words_from", "shard", "place")).alias("first")
+    own = pieces.where("epoch is not null").groupBy("row_id", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("words_from", "words_to"))).alias("spans"), F.sum(F.col("words_to") - F.col("words_from")).alias("got"), first)
+    own = own.select(F.col("row_id").alias(row), F.col("spans").alias(spans), (F.col("got") == F.col("size")).alias(whole), F.col("first.shard").alias(shard), F.col("first.place").alias(place))
+    joined = df.join(own, row)
+    text = F.col(f"`{text_col}`")
+    found = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    cut = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(F.col(words), (s["words_from"] + 1).cast("int"), (s["words_to"] - s["words_from"]).cast("int")))), " ")
+    joined = joined.withColumn(words, F.when(~F.col(whole), found)).withColumn(text_col, F.when(F.col(whole), text).otherwise(cut))
     if length_col in kind:
-        joined = joined.withColumn(length_col, F.length(text_col).cast(kind[length_col]))
-    return joined.select(*[F.col(f"`{c}`") for c in columns])
+        joined = joined.withColumn(length_col, F.length(text).cast(kind[length_col]))
+    # places are hashes, so that equal ranges of them hold equal shares of a shard: no sample of the rows is needed
+    ordered = joined.drop(words, spans, whole).repartition(F.col(shard), F.shiftrightunsigned(place, 60)).sortWithinPartitions(shard, place, row)
+    return ordered.select(*[F.col(f"`{c}`") for c in columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, give_back, materialize, numbered, row_id, slices, small_batches
+from .common import dealt_anew, fresh, give_back, materialize, numbered, row_id, slices, small_batches
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -299,8 +299,14 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of ``df``, with all their columns, that :func:`near_duplicates` keeps."""
-    df = numbered(df, "near-docs")
-    found = near_duplicates(df, id_col, text_col, row_col="__row", **options)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("row_id").alias("__row")), "near-gone", gathered=True)
-    return df.join(gone, "__row", "left_anti").drop("__row")
+    """The rows of ``df``, with all their columns whatever their names, that :func:`near_duplicates` keeps.
+
+    One row of each class of similar texts, that of the smallest id, null ids last,
+    ties by the place in the scan. Texts without words (null, empty, white space)
+    all stay; long texts are compared whole; an empty table gives an empty result.
+    """
+    row = fresh(df.columns, "__row")
+    df = numbered(df, "near-docs", row)
+    found = near_duplicates(df, id_col, text_col, row_col=row, **options)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("row_id").alias(row)), "near-gone", gathered=True)
+    return df.join(gone, row, "left_anti").drop(row)

@@ -91,3 +91,51 @@ def test_mixed_documents_keep_their_columns(spark, smallest):
         assert r.n_chars == len(r.text)
         held[r.source] = held.get(r.source, 0) + words(r.text)
     assert all(abs(held[s] - goal[s]) <= 1 for s in goal)
+
+
+def test_leaf_quotas_bind(spark):
+    """Each shard draws as many blocks of each source as the tree's leaf says, from disjoint blocks; all shards are of one size."""
+    sources = spark.createDataFrame([("a", 1, 100_000, 150_000.0), ("b", 2, 3_000, 6_000.0), ("c", 3, 50, 7.0)], "source string, sid int, source_size long, target double")
+    found = {}
+    for seed in (1, 2):
+        blocks = mixing.plan_blocks(sources, 8, 64, seed).collect()
+        assert len({(b.sid, b.epoch, b.block) for b in blocks}) == len(blocks)
+        each = {}
+        for b in blocks:
+            each[b.shard, b.sid] = each.get((b.shard, b.sid), 0) + 1
+        quotas = {}
+        for b in blocks:
+            quotas[b.sid] = quotas.get(b.sid, 0) + 1
+        nodes = spark.createDataFrame([(1, sorted(quotas.items()))], "node long, blocks array<struct<sid:int,quota:long>>")
+        for _ in range(3):
+            nodes = mixing.split(nodes, seed)
+        assert {(r.shard, r.sid): r.quota for r in mixing.leaf_quotas(nodes, 8).collect() if r.quota} == each
+        sizes = [sum(n for (s, _), n in each.items() if s == k) for k in range(8)]
+        assert max(sizes) - min(sizes) <= 1
+        found[seed] = each
+    assert found[1] != found[2]
+
+
+def test_rows_come_by_shard_and_place(spark, smallest):
+    docs = spark.read.parquet(f"{smallest}/documents.parquet").withColumnRenamed("lang", "__row").withColumn("a.b", F.lit(1))
+    out = mixing.apply_mix(docs, shards=4)
+    assert out.columns == docs.columns
+    pieces = {}
+    for p in mixing.mix(docs, shards=4).where("epoch is not null").collect():
+        at = pieces.setdefault((p.doc_id, p.epoch), (p.words_from, p.shard, p.place))
+        pieces[p.doc_id, p.epoch] = min(at, (p.words_from, p.shard, p.place))
+    order = {}
+    for (i, _), (_, shard, place) in pieces.items():
+        order.setdefault(i, []).append((shard, place))
+    got = out.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, x in order.items() for _ in x)
+    for p in {r.p for r in got}:
+        ids = [r.doc_id for r in got if r.p == p]
+        at = (-1, 0)
+        for i in ids:  # some order of each document's passes ascends
+            at = min(x for x in order[i] if x >= at)
+
+
+def test_pieces_of_the_query(spark, smallest):
+    for r in queries.op6_mixing(spark, smallest).collect():
+        assert sum(p.words_to - p.words_from for p in r.pieces) == r.taken and all(0 <= p.shard < 8 for p in r.pieces)
