@@ -293,7 +293,7 @@ def train(
                 for piece in pieces[:: max(1, -(-len(pieces) // spans))]:
                     ids.append(str(i))
                     labels.append(label)
-                    found.append([w[:64] for w in piece])
+                    found.append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(labels, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["id", "label", "words"])
 
     got = first.select("id", "text", "label").mapInArrow(cut, "id string, label string, words array<string>").collect()
@@ -331,7 +331,12 @@ def identify(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(df: DataFrame, model: Crf, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df``, all columns, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``df``, all columns whatever their names, whose text has a language with a score of ``least`` or more.
+
+    Null and empty texts and those without a letter have none. Rows are independent
+    and texts read whole; repeated rows stay or go together; an empty table gives an
+    empty result.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

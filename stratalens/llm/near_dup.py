@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from .common import dealt_anew, fresh, give_back, materialize, numbered, row_id,
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
-#: Bits of the filter that tells which texts are read again; a fixed 8 MB.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that tells which texts are read again: sixteen a wanted text, within these bounds (128 KB and 32 MB).
+FILTER_BITS = 1 << 20, 1 << 28
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,9 +80,10 @@ def bag_min_hash(many: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.nda
     """BagMinHash signatures: equal components of two bags are as frequent as their weighted Jaccard similarity.
 
     The weight axis is cut into dyadic intervals [0,1), [1,2), [2,4), [4,8) ... For
-    every shingle and interval below its count, a Poisson process of rate ``size``
-    times the interval's width yields points in order of time; a point has a place
-    on the weight axis, which counts if it lies below the shingle's count, and
+    every shingle and interval below its count (one level of the hierarchy: an
+    interval is not split again), a Poisson process of rate ``size`` times the
+    interval's width yields points in order of time; a point has a place on the
+    weight axis, which counts if it lies below the shingle's count, and
     falls on a random component, which keeps its earliest point. Seeds depend on
     shingle and interval alone, so bags share the points of the weight they share.
     A process stops when its next point is later than the latest component, which
@@ -148,17 +149,24 @@ def unpack(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int32).astype(np.int64)
 
 
+def filter_bits(wanted: int) -> int:
+    """A power of two of about sixteen bits a wanted row, within bounds."""
+    return min(max(1 << (16 * max(wanted, 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
 def reread(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(row, hashes, counts) of the texts whose row is in ``wanted``.
+    """(row, hashes, counts, size) of the texts whose row is in ``wanted``, a written table.
 
-    A bit filter of fixed size, built from the wanted rows' hashes, is tested while
-    the texts are scanned, so that texts need not be shuffled; what it lets pass by
-    chance is dropped by a join.
+    A bit filter, built from the wanted rows' hashes, is tested while the texts are
+    scanned, so that few others are hashed and shuffled; what it lets pass by chance
+    (one row in sixteen, or more beyond 2^24 wanted rows) is dropped by a join.
+    ``size`` is that of the bag in bytes.
     """
-    slot = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(FILTER_BITS)) + 1  # bitmap buckets count from 1
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    n = filter_bits(wanted.count())
+    slot = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(n)) + 1  # bitmap buckets count from 1
+    bits = np.zeros(n // 8, np.uint8)
     maps = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    for r in maps.toLocalIterator():  # 4 KB for each of 2048 stretches of the filter, at most
+    for r in maps.toLocalIterator():  # 4 KB for each stretch of the filter, at most
         bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.m, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -168,11 +176,12 @@ def reread(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             for batch in slices([whole.filter(pa.array(hit.astype(bool)))], "text"):
                 found, _ = bags(batch.column("text").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["row", "hashes", "counts"])
+                arrays = [batch.column("row"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary()), pa.array([12 * len(h) for h, _ in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "hashes", "counts", "size"])
         HASHES.clear()
         give_back()
 
-    return docs.select("row", "text", slot.alias("slot")).mapInArrow(run, "row long, hashes binary, counts binary").join(wanted, "row", "left_semi")
+    return docs.select("row", "text", slot.alias("slot")).mapInArrow(run, "row long, hashes binary, counts binary, size long").join(wanted, "row", "left_semi")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -192,18 +201,29 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -> DataFrame:
     """Links among members (bucket, row, part) of buckets that one centre did not settle.
 
-    Buckets are dealt into chunks of about ``chunk`` rows; a task gets two chunks of
-    a bucket and compares rows of different parts until they are linked. Every pair
-    of chunks meets, so no link between parts is lost, and a task's memory is that of
-    two chunks.
+    The rows of a bucket are dealt into chunks of about ``chunk`` bytes of bags: a
+    part that fills a chunk has chunks of its own, smaller parts stay whole and share.
+    A task gets two chunks, or one, and compares rows of different parts until they
+    are linked, pairs of different chunks where there are two. Every two chunks meet
+    but those of one part, so no link between parts is lost, rows beside a part of
+    any size make it come out once for each of their chunks, and a task's memory is
+    that of two chunks.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
-    dealt = members.join(dealt_anew(sizes, "bucket"), "bucket").withColumn("i", F.pmod(F.xxhash64("row"), F.col("n").cast("long")).cast("int"))
-    cells = dealt.withColumn("j", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
-    full = cells.select("bucket", "a", "b", "row", "part").join(texts, "row")
+    sized = members.join(texts.select("row", "size"), "row")
+    parts = sized.groupBy("bucket", "part").agg(F.least(F.ceil(F.sum("size") / chunk).cast("long"), F.count("*")).alias("n"), F.sum("size").alias("bytes"))
+    shared = parts.where("n = 1").groupBy("bucket").agg(F.least(F.ceil(F.sum("bytes") / chunk).cast("long"), F.count("*")).alias("m"))
+    parts = materialize(parts.join(shared, "bucket", "left").select("bucket", "part", F.when(F.col("n") > 1, F.col("part")).otherwise(-1).alias("own"), F.when(F.col("n") > 1, F.col("n")).otherwise(F.col("m")).alias("n")), "near-parts", gathered=True)
+    place = F.pmod(F.when(F.col("own") >= 0, F.xxhash64("row")).otherwise(F.xxhash64("part")), F.col("n"))
+    dealt = sized.join(parts, ["bucket", "part"]).select("bucket", "row", "part", F.struct("own", place.alias("i")).alias("chunk"))
+    chunks = parts.select("bucket", "own", "n").distinct().select("bucket", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("bucket", F.struct("own", "i").alias("chunk"))
+    chunks = materialize(chunks, "near-chunks", gathered=True)
+    met = chunks.withColumnRenamed("chunk", "a").join(chunks.withColumnRenamed("chunk", "b"), "bucket").where("a <= b and (a.own <> b.own or a.own < 0)")
+    cells = met.select("bucket", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"))
+    full = cells.join(dealt, ["bucket", "chunk"]).join(texts.select("row", "hashes", "counts"), "row")
+    full = full.select("bucket", F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), (F.col("chunk") == F.col("a")).alias("left"), (F.col("a") == F.col("b")).alias("within"), "row", "part", "hashes", "counts")
 
     def run(table: pa.Table) -> pa.Table:
-        rows, parts = table.column("row").to_pylist(), table.column("part").to_pylist()
+        rows, parts, left, within = (table.column(c).to_pylist() for c in ("row", "part", "left", "within"))
         held = [unpack(h, c) for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)]
         weights = [int(c.sum()) for _, c in held]
         root = {p: p for p in parts}
@@ -213,8 +233,9 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
                 root[p] = p = root[root[p]]
             return p
 
+        sides = [i for i, x in enumerate(left) if x], [i for i, x in enumerate(left) if not x]
         links = []
-        for x, y in combinations(range(len(rows)), 2):
+        for x, y in combinations(sides[0], 2) if within[0] else product(*sides):
             p, q = top(parts[x]), top(parts[y])
             if p != q and min(weights[x], weights[y]) >= least * max(weights[x], weights[y]) and similarity(held[x], held[y]) >= least:
                 root[max(p, q)] = min(p, q)
@@ -225,7 +246,7 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 512, row_col: str | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 2 << 20, row_col: str | None = None
 ) -> DataFrame:
     """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
 
@@ -268,7 +289,7 @@ def near_duplicates(
     shared = banded.groupBy("bucket").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1")
     met = materialize(banded.join(dealt_anew(shared, "bucket"), "bucket"), "near-met", gathered=True)
     pairs = met.where("row <> centre").select(F.col("row").alias("u"), F.col("centre").alias("v")).distinct()
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "near-wanted", gathered=True)
     texts = materialize(reread(docs, wanted, width), "near-texts", gathered=True)
     parts = components(verify(pairs, texts, least))
 

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs by brute force."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -65,7 +66,7 @@ def test_table_against_brute_force(spark, smallest):
     assert got == {r.doc_id: docs[want[i]].doc_id for i, r in enumerate(docs)}
 
 
-@pytest.mark.parametrize("chunk", [3, 128])
+@pytest.mark.parametrize("chunk", [1_000, 4_000, 200_000])  # bytes: a text, three texts, all texts
 def test_chains_and_false_centres(spark, chunk):
     """Texts drifting away word by word: the first resembles the last no more, yet all links count."""
     rnd = random.Random(5)
@@ -122,3 +123,50 @@ def test_rows_stay_the_same_when_splits_change(spark, tmp_path, monkeypatch):
         finally:
             spark.conf.set(size, before)
             monkeypatch.setattr(module, "materialize", real)
+
+
+def merged(links):
+    """The smallest node of each linked node's component."""
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = top(u), top(v)
+        root[max(a, b)] = min(a, b)
+    return {x: top(x) for x in root}
+
+
+def test_cells_between_parts(spark):
+    """A part that fills many chunks, small parts and strays in one bucket: all pairs of parts meet, rows of one part do not."""
+    rnd = random.Random(4)
+    common = [f"w{i}" for i in range(60)]
+    texts, part = [], []
+    for i in range(60):  # one part of similar texts
+        texts.append(" ".join(common + [f"e{i % 3}"]))
+        part.append(0)
+    for i in range(12):  # strays, of which every third resembles the part, and the others each other in pairs
+        own = [f"s{i // 2}x{k}" for k in range(60)]
+        texts.append(" ".join(common + ["stray"]) if i % 3 == 0 else " ".join([*own, f"t{i}"]))
+        part.append(100 + i)
+    found, _ = near_dup.bags(texts, 5)
+    rows = [(i, h.tobytes(), c.astype(np.int32).tobytes(), 12 * len(h)) for i, (h, c) in enumerate(found)]
+    held = spark.createDataFrame(rows, "row long, hashes binary, counts binary, size long")
+    members = spark.createDataFrame([(7, i, p) for i, p in enumerate(part)] + [(8, 60, 160), (8, 63, 163)], "bucket long, row long, part long")
+    want = {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if part[i] != part[j] and near_dup.similarity(found[i], found[j]) >= 0.8:
+            want.setdefault(part[i], set()).add(part[j])
+    for chunk in (1, 2_000, 10**6):
+        links = near_dup.link_cells(members, held, 0.8, chunk).collect()
+        assert all(near_dup.similarity(found[r.u], found[r.v]) >= 0.8 for r in links)
+        joined, whole = merged([(part[r.u], part[r.v]) for r in links]), merged([(a, b) for a, bs in want.items() for b in bs])
+        assert joined == whole and whole
+
+
+def test_filter_grows_with_the_rows():
+    assert near_dup.filter_bits(0) == near_dup.filter_bits(1000) == 1 << 20
+    assert near_dup.filter_bits(1 << 20) == 1 << 24 and near_dup.filter_bits(10**9) == 1 << 28
