@@ -17,8 +17,10 @@ from .common import crc_remainder, few_files, give_back, materialize, row_id, sl
 
 #: What is added to each count.
 ADD = 0.1
-#: Training cuts token sequences into stretches of so many.
-STRETCH = 64
+#: Training cuts token sequences longer than this into stretches of so many, and reads so many more on each side.
+STRETCH, LEAD = 256, 24
+#: Stretches whose messages are in memory at a time.
+AT_ONCE = 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -160,34 +162,45 @@ class Hmm:
     emit: np.ndarray
 
 
-def stretches(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut into rows of STRETCH classes, and each row's length."""
-    rows, lengths = [], []
-    for c in codes:
-        x = np.frombuffer(c, dtype="<u2")
-        n = -(-len(x) // STRETCH)
-        block = np.zeros((n, STRETCH), dtype=np.int64)
-        block.ravel()[: len(x)] = x
-        rows.append(block)
-        lengths.append(np.minimum(STRETCH, len(x) - STRETCH * np.arange(n)))
-    return np.concatenate(rows), np.concatenate(lengths)
+def stretches(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences cut into rows of classes; of each row its length, and where its own stretch begins and ends.
 
-
-def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: expected starts, transitions and emissions over stretches, by scaled forward-backward.
-
-    Arrays are states x stretches, so that every step runs along the stretches.
+    A row has LEAD classes more on each side, as far as the text goes, so that the
+    messages that reach its own stretch have forgotten where they began.
+    """
+    seqs = [np.frombuffer(c, dtype="<u2") for c in codes]
+    sizes = np.array([len(x) for x in seqs])
+    flat = np.concatenate(seqs)
+    number = -(-sizes // STRETCH)
+    own = STRETCH * (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
+    size = np.repeat(sizes, number)
+    begin, end = np.maximum(own - LEAD, 0), np.minimum(own + STRETCH + LEAD, size)
+    at = np.repeat(np.cumsum(sizes) - sizes, number) + begin
+    lengths = end - begin
+    rows = flat[np.minimum(at[:, None] + np.arange(lengths.max()), len(flat) - 1)]
+    return rows, lengths, own - begin, np.minimum(own + STRETCH, size) - begin
+
+
+def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch: expected starts, transitions and emissions of stretches, by scaled forward-backward.
+
+    What lies in ``low`` .. ``high`` of a row is counted, so each token and each
+    transition of a text counts once, and starts where a text starts. Texts of one
+    stretch have exact counts. Later stretches begin from the chain's stationary
+    distribution, and all but the last end without knowing what follows, LEAD tokens
+    away. Arrays are states x stretches, so that every step runs along the stretches.
     """
-    order = np.argsort(-lengths, kind="stable")
-    rows, lengths = np.ascontiguousarray(rows[order].T), lengths[order]
     k, c = hmm.emit.shape
-    live = np.searchsorted(-lengths, -np.arange(STRETCH), side="left")
+    order = np.argsort(-lengths, kind="stable")
+    rows, lengths, low, high = np.ascontiguousarray(rows[order].T), lengths[order], low[order], high[order]
     steps = int(lengths[0])
+    live = np.searchsorted(-lengths, -np.arange(steps), side="left")
     emit = np.ascontiguousarray(hmm.emit, dtype=np.float32)
     move = hmm.move.astype(np.float32)
     back = np.ascontiguousarray(move.T)
-    first = hmm.start.astype(np.float32)[:, None]
-    begin = np.r_[0, np.cumsum(live[:steps])]
+    heads = low == 0
+    first = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
+    begin = np.r_[0, np.cumsum(live)]
     where = np.concatenate([rows[t, : live[t]] for t in range(steps)])
     held = np.empty((k, len(where)), dtype=np.float32)
     seen, scales = [], []
@@ -206,6 +219,8 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarra
     beta = np.ones((k, live[steps - 1]), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
         alpha = held[:, begin[t] : begin[t + 1]]
+        own = ((low[: live[t]] <= t) & (t < high[: live[t]])).astype(np.float32)
+        alpha *= own
         if t < steps - 1:
             ahead = beta * seen[t + 1]
             ahead /= scales[t + 1]
@@ -213,7 +228,7 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarra
             beta = np.ones((k, live[t]), dtype=np.float32)
             beta[:, : ahead.shape[1]] = move @ ahead
         alpha *= beta  # its forward part is used up
-    starts = held[:, : live[0]].sum(axis=1, dtype=np.float64)
+    starts = held[:, : live[0]][:, heads].sum(axis=1, dtype=np.float64)
     for j in range(k):
         emits[j] = np.bincount(where, weights=held[j], minlength=c)
     return starts, pairs, emits
@@ -262,11 +277,13 @@ def log10_likelihood(hmm: Hmm, codes: list[bytes]) -> np.ndarray:
 
 
 def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: float, seed: int) -> Hmm:
-    """Baum-Welch over all coded training texts, ``rounds`` times, from random emissions.
+    """Baum-Welch over all coded training texts, ``rounds`` times, from random emissions. A class is a 16-bit number.
 
     Each round adds up expected counts in every partition, sums them in Spark, and
     gives the driver states x classes sums.
     """
+    if classes.number() > 1 << 16:
+        raise ValueError(f"{classes.number()} classes: own and rest together must stay below 65536")
     unigram = classes.mass / classes.mass.sum()
     rng = np.random.default_rng(seed)
     c = classes.number()
@@ -281,8 +298,10 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: f
         def run(batches: Iterator[pa.RecordBatch], now: Hmm = now) -> Iterator[pa.RecordBatch]:
             sums = [np.zeros(s) for s in shapes]
             for batch in slices(batches, "codes", 2 << 20):
-                for total, more in zip(sums, expected(now, *stretches(batch.column("codes").to_pylist())), strict=True):
-                    total += more
+                cut = stretches(batch.column("codes").to_pylist())
+                for at in range(0, len(cut[0]), AT_ONCE):
+                    for total, more in zip(sums, expected(now, *(x[at : at + AT_ONCE] for x in cut)), strict=True):
+                        total += more
             flat = np.concatenate([s.ravel() for s in sums])
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "value"])

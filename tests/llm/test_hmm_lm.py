@@ -120,3 +120,51 @@ def test_every_round_sees_all_texts(spark, monkeypatch):
     for _ in range(4):
         want = hmm_lm.maximise(*hmm_lm.expected(want, *cut), unigram, 20.0)
     assert np.allclose(got.emit, want.emit, rtol=1e-2, atol=1e-6) and np.allclose(got.move, want.move, rtol=1e-2, atol=1e-6)
+
+
+def test_long_texts_count_as_if_whole(monkeypatch):
+    """Counts over stretches against those over whole texts: starts exactly, the rest to what LEAD tokens leave."""
+    rng = np.random.default_rng(3)
+    h = hmm_lm.Hmm(np.array([0.9, 0.1, 0.0]), np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]]), rng.dirichlet(np.ones(12), 3))
+    codes = [rng.integers(0, 12, n).astype("<u2").tobytes() for n in (1, 255, 256, 257, 700, 1500)]
+    cut = hmm_lm.expected(h, *hmm_lm.stretches(codes))
+    monkeypatch.setattr(hmm_lm, "STRETCH", 10_000)
+    whole = hmm_lm.expected(h, *hmm_lm.stretches(codes))
+    for a, b in zip(cut, whole, strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+    assert np.isclose(cut[0].sum(), 6) and np.isclose(cut[1].sum(), 2969 - 6, rtol=1e-4) and np.isclose(cut[2].sum(), 2969, rtol=1e-4)
+
+
+def test_score_of_the_table_by_brute_force(spark, smallest, monkeypatch):
+    """score: the forward recursion, written out in log space, times each word's share of its class."""
+    docs, kept, real = spark.read.parquet(f"{smallest}/documents.parquet"), [], hmm_lm.train
+
+    def train(coded, classes, *rest):
+        kept.append((classes, real(coded, classes, *rest)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(hmm_lm, "train", train)
+    got = {r.doc_id: r.score for r in hmm_lm.score(docs, known=30, own=20, rest=16, states=3, first_rounds=3, rounds=0).collect()}
+    [(cl, h)] = kept
+    texts = {r.doc_id: hmm_lm.tokens(r.text) for r in docs.collect()}
+    counts = {}
+    for i, ws in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+    names = list(cl.known)[: cl.own]
+    mass = np.zeros(cl.number())  # of the shared classes: counts of their words, each and one unseen word with 0.1 more
+    for w, n in counts.items():
+        if w not in names:
+            mass[cl.rest_class(w)] += n + 0.1
+    mass += 0.1
+    for i, ws in texts.items():
+        if len(ws) > 3000:
+            continue
+        x = [names.index(w) + 1 if w in names else cl.rest_class(w) for w in ws] + [0]
+        with np.errstate(divide="ignore"):
+            a = np.log(h.start) + np.log(h.emit[:, x[0]])
+            for c in x[1:]:
+                a = np.logaddexp.reduce(a[:, None] + np.log(h.move), axis=0) + np.log(h.emit[:, c])
+        want = np.logaddexp.reduce(a) / np.log(10) + sum(math.log10((counts.get(w, 0) + 0.1) / mass[c]) for w, c in zip(ws, x) if w not in names)
+        assert abs(got[i] - want) < 1e-7 * max(1, abs(want)), i
