@@ -39,6 +39,8 @@ INLINE = frozenset("a abbr b big cite code em font i img label small span strong
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: How many times the clustered text of an article or main element counts against text outside them.
+ELEMENT_WEIGHT = 10
 #: Elements whose open paragraph ends when one of BLOCKS begins.
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 
@@ -46,34 +48,41 @@ CLOSES_P = BLOCKS - {"html", "head", "body"}
 class Events(HTMLParser):
     """Turns parser events into lines: a block's text with its counts of tags and link text.
 
-    ``lines`` holds [parts, tags, link characters, container path, headline, doubts].
-    ``bounds`` names the containers that are article or main elements.
+    ``lines`` holds [parts, tags, link characters, container, headline, doubt].
+    Containers are numbered in the order in which they open: ``above`` is the one
+    around each, ``last`` the last one inside it, ``bounds`` names those that are
+    article or main elements, and ``owner`` is the outermost article around each, or
+    else the outermost main, itself included, or 0.
     Elements known to be noise are skipped with all they hold. Containers that only
     their class, id or role calls noise are doubted: their lines are kept apart, and
     ``cleared`` has those that hold an article, main or h1. ``free`` has those that
     stand outside articles and are cleared if most of the clustered text is theirs.
+    ``doubt_above`` is the doubted container around each.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.count: dict[str, int] = {}  # open elements by name, and those since the noise began
+        self.inside: dict[str, int] = {}
         self.noise_at: int | None = None  # depth of the outermost open noise element
         self.links = 0
-        self.holds: list[int] = []  # open containers
-        self.made = 0
+        self.holds: list[int] = [0]  # open containers; 0 is the page
+        self.above, self.last, self.owner = [0], [0], [0]
         self.article_depth: list[int] = []
+        self.articles = 0
         self.bounds: dict[int, str] = {}
         self.doubts: list[tuple[int, int]] = []  # depth and number of open doubted containers
-        self.doubted = 0
-        self.cleared: set[int] = set()
+        self.doubt_above = [0]
+        self.cleared: set[int] = {0}
         self.free: set[int] = set()
         self.lines: list[list] = []
-        self.line: list = [[], 0, 0, (), False, ()]
+        self.line: list = [[], 0, 0, 0, False, 0]
 
     def end_line(self) -> None:
         if self.line[0]:
             self.lines.append(self.line)
-        self.line = [[], 0, 0, tuple(self.holds), "h1" in self.open, tuple(i for _, i in self.doubts)]
+        self.line = [[], 0, 0, self.holds[-1], self.count.get("h1", 0) > 0, self.doubts[-1][1] if self.doubts else 0]
 
     def noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         """Whether an element is noise for certain."""
@@ -113,43 +122,53 @@ class Events(HTMLParser):
                 if tag == "hr":
                     self.end_line()
             return
-        if tag in CLOSES_P and "p" in self.open and (self.noise_at is None or "p" in self.open[self.noise_at + 1 :]):
+        if tag in CLOSES_P and (self.count if self.noise_at is None else self.inside).get("p"):
             self.close("p", stop=("article", "section", "div", "td", "li", "main", "body", "aside", "nav", "footer", "header"))
         if tag == "li" and self.open and self.open[-1] == "li":
             self.close("li", stop=("ul", "ol", "menu"))
         self.open.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
         if self.noise_at is not None:
+            self.inside[tag] = self.inside.get(tag, 0) + 1
             return
         named = self.named_noise(tag, attrs)
         if named and tag in INLINE or self.noise(tag, attrs):
             self.noise_at = len(self.open) - 1
+            self.inside = {}
             if block:
                 self.end_line()
             else:
                 self.line[0].append(" ")
             return
-        if self.doubts and (tag == "article" or tag in ("main", "h1") and not self.bounds_open("article")):
-            self.cleared.update(i for _, i in self.doubts)
+        if self.doubts and (tag == "article" or tag in ("main", "h1") and not self.articles):
+            for _, i in reversed(self.doubts):
+                if i in self.cleared:
+                    break  # and so are those around it
+                self.cleared.add(i)
         if named:
-            self.doubted += 1
-            self.doubts.append((len(self.open) - 1, self.doubted))
+            self.doubt_above.append(self.doubts[-1][1] if self.doubts else 0)
+            self.doubts.append((len(self.open) - 1, len(self.doubt_above) - 1))
             if not self.article_depth:
-                self.free.add(self.doubted)
+                self.free.add(self.doubts[-1][1])
             self.end_line()
         self.line[1] += 1
         if tag == "a":
             self.links += 1
         if block:
-            self.made += 1
+            around, made = self.holds[-1], len(self.above)
+            self.above.append(around)
+            self.last.append(made)
+            own = self.owner[around]
             if tag in ("article", "main"):
                 self.article_depth.append(len(self.open) - 1)
-                self.bounds[self.made] = tag
-            self.holds.append(self.made)
+                self.articles += tag == "article"
+                self.bounds[made] = tag
+                if not own or tag == "article" and self.bounds[own] == "main":
+                    own = made
+            self.owner.append(own)
+            self.holds.append(made)
             self.end_line()
 
-    def bounds_open(self, tag: str) -> bool:
-        return any(self.open[i] == tag for i in self.article_depth)
-
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -160,6 +179,10 @@ class Events(HTMLParser):
         if tag is None:
             super().close()
             self.end_line()
+            for i in self.holds:  # those left open, and the page
+                self.last[i] = len(self.above) - 1
+            return
+        if not self.count.get(tag):
             return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i]
@@ -172,22 +195,25 @@ class Events(HTMLParser):
 
     def leave(self, name: str) -> None:
         self.open.pop()
+        self.count[name] -= 1
         depth = len(self.open)
         if self.noise_at is not None:
             if depth > self.noise_at:
+                self.inside[name] -= 1
                 return
             self.noise_at = None
             return
         if self.doubts and self.doubts[-1][0] >= depth:
             self.end_line()
             self.doubts.pop()
-            self.line[5] = tuple(i for _, i in self.doubts)
+            self.line[5] = self.doubts[-1][1] if self.doubts else 0
         if self.article_depth and self.article_depth[-1] >= depth:
             self.article_depth.pop()
+            self.articles -= name == "article"
         if name == "a":
             self.links -= 1
         if name in BLOCKS:
-            self.holds.pop()
+            self.last[self.holds.pop()] = len(self.above) - 1
             self.end_line()
 
     def handle_endtag(self, tag: str) -> None:
@@ -195,9 +221,9 @@ class Events(HTMLParser):
             return
         if self.noise_at is None:
             self.line[1] += 1
-        elif tag not in self.open[self.noise_at :]:
+        elif tag != self.open[self.noise_at] and not self.inside.get(tag):
             # an outer block's end closes noise that was left open; other stray ends are ignored
-            if tag not in BLOCKS or tag == "p" or tag not in self.open:
+            if tag not in BLOCKS or tag == "p":
                 return
         self.close(tag)
 
@@ -236,14 +262,13 @@ def main_text(html: str | None) -> str:
     if not rows:
         return ""
     chosen = clusters(measured(rows))
-    if any(line[5] for _, line in rows):
-        cleared = cleared_of(parser, rows, chosen)
-        rows = [(t, line) for t, line in rows if cleared.issuperset(line[5])]
+    if parser.free or parser.doubt_above[1:]:
+        fine = cleared_of(parser, rows, chosen)
+        rows = [(t, line) for t, line in rows if fine[line[5]]]
         if not rows:
             return ""
         chosen = clusters(measured(rows))
-    held = [(t, line, bool(c)) for (t, line), c in zip(rows, chosen, strict=True)]
-    return " ".join(t for t, _, _ in (within(held, parser.bounds) if parser.bounds else region(held)))
+    return " ".join(t for t, _ in region(parser, rows, chosen))
 
 
 def measured(rows: list[tuple[str, list]]) -> np.ndarray:
@@ -251,52 +276,55 @@ def measured(rows: list[tuple[str, list]]) -> np.ndarray:
     return np.array([max(len(t) - line[2], 0) / (line[1] + 1) for t, line in rows])
 
 
-def cleared_of(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) -> set[int]:
-    """Doubted containers that are content: they hold an article, main or h1, or most of the clustered text."""
-    weight: dict[int, int] = {}
-    total = 0
+def cleared_of(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) -> list[bool]:
+    """Whether each doubted container is content, with all around it: it holds an article, main or h1, or most of the clustered text."""
+    weight, total = [0] * len(parser.doubt_above), 0
     for (t, line), c in zip(rows, chosen, strict=True):
         if c:
             total += len(t)
-            for i in line[5]:
-                weight[i] = weight.get(i, 0) + len(t)
-    return parser.cleared | {i for i, w in weight.items() if i in parser.free and 2 * w > total}
-
-
-def within(held: list[tuple[str, list, bool]], bounds: dict[int, str]) -> list[tuple[str, list, bool]]:
-    """All lines of the article or main element with most clustered text, and the headline of the main around an article.
-
-    Text inside articles counts for the outermost one, other text for its main element.
+            weight[line[5]] += len(t)
+    for i in range(len(weight) - 1, 0, -1):  # inner ones come behind
+        weight[parser.doubt_above[i]] += weight[i]
+    fine = [True]
+    for i in range(1, len(weight)):
+        fine.append(fine[parser.doubt_above[i]] and (i in parser.cleared or i in parser.free and 2 * weight[i] > total))
+    return fine
+
+
+def region(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) -> list[tuple[str, list]]:
+    """The lines of the content region, which the clusters choose; without clusters there is none.
+
+    Clustered text is weighed by the outermost article around it, or else main. The
+    heaviest is the region, with the headline of the main around an article, if its
+    weight, ELEMENT_WEIGHT times over, is not less than that of the clustered text
+    outside articles and mains: a short article outweighs a notice, a card does not
+    outweigh a long text. Else the region is the smallest
+    container of all clustered lines and headlines, less blocks of links before and
+    behind them, which are menus.
     """
-    owners = []
-    for _, line, _ in held:
-        around = [i for i in line[3] if i in bounds]
-        owners.append((next((i for i in around if bounds[i] == "article"), around[0] if around else 0), around))
-    weight: dict[int, list[int]] = {}
-    for (t, _, c), (owner, _) in zip(held, owners, strict=True):
-        if owner:
-            both = weight.setdefault(owner, [0, 0])
-            both[0] += len(t) if c else 0
-            both[1] += len(t)
-    if not weight:
-        return region(held)
-    best = max(weight, key=lambda i: weight[i])
-    outer = {i for _, around in owners if best in around for i in around[: around.index(best)]}
-    return [row for row, (owner, around) in zip(held, owners, strict=True) if best in around or row[1][4] and owner in outer]
-
-
-def region(held: list[tuple[str, list, bool]]) -> list[tuple[str, list, bool]]:
-    """Lines of the smallest container of all clustered lines and the headlines; blocks of links before and behind the clusters are menus."""
-    marked = [i for i, (_, _, c) in enumerate(held) if c]
+    marked = np.flatnonzero(chosen).tolist()
     if not marked:
         return []
-    paths = [line[3] for _, line, c in held if c or line[4]]
-    low, high = min(paths), max(paths)
-    n = next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
-    best = low[:n]
-    if n and any(line[3] == best for _, line, _ in held):
-        best = best[:-1]  # a line of its own, and what stands beside it
-    return [row for i, row in enumerate(held) if row[1][3][: len(best)] == best and (marked[0] <= i <= marked[-1] or row[1][2] <= 0.5 * len(row[0]))]
+    weight: dict[int, int] = {}
+    for i in marked:
+        owner = parser.owner[rows[i][1][3]]
+        weight[owner] = weight.get(owner, 0) + len(rows[i][0])
+    loose = weight.pop(0, 0)
+    best = max(weight, key=lambda i: (weight[i], -i), default=0)
+    if best and ELEMENT_WEIGHT * weight[best] >= loose:
+        outer, at = set(), parser.above[best]
+        while at:
+            if at in parser.bounds:
+                outer.add(at)
+            at = parser.above[at]
+        return [row for row in rows if best <= row[1][3] <= parser.last[best] or row[1][4] and parser.owner[row[1][3]] in outer]
+    held = [line[3] for (_, line), c in zip(rows, chosen, strict=True) if c or line[4]]
+    low, high = min(held), max(held)
+    while high > parser.last[low]:
+        low = parser.above[low]
+    if low and any(line[3] == low for _, line in rows):
+        low = parser.above[low]  # a line of its own, and what stands beside it
+    return [row for i, row in enumerate(rows) if low <= row[1][3] <= parser.last[low] and (marked[0] <= i <= marked[-1] or row[1][2] <= 0.5 * len(row[0]))]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -307,9 +335,10 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     forms, scripts, styles and comments are recognised by element, role, class or
     id and left out; what only a role, class or id calls so stays if it holds an
     article, main or h1 or most of the clustered text. Ratios of text to tags are smoothed and cut at a threshold.
-    Where a page has article or main elements, the one with most clustered text is
-    kept whole; elsewhere the smallest container of all clustered lines and h1
-    headlines, less blocks of links before and behind them.
+    The clusters choose the content region (:func:`region`): the article or main
+    element with most clustered text, whole, unless more of it stands outside such
+    elements; else the smallest container of all clustered lines and h1 headlines,
+    less blocks of links before and behind them.
     White space runs become one space; blocks are joined by one space.
 
     Null or empty html and pages without content: empty text. Pages of any size

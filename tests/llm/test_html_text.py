@@ -84,3 +84,29 @@ def test_frame(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>a", "t"), (1, "u", "<p>a", "t")], "page_id long, url string, html string, text string")
     assert sorted(str(tuple(r)) for r in html_text.extract(df).collect()) == ["(1, 'u', 'a')", "(1, 'u', 'a')", "(None, None, '')"]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+PROSE = " ".join(["prose"] * 60)
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    """Between two articles, and against a card that is an article beside a long plain block; without clusters nothing is found."""
+    long, short = f"<article><p>{PROSE}</p><p>{PROSE}</p></article>", "<article><p>tiny</p></article>"
+    assert html_text.main_text(short + long) == html_text.main_text(long + short) == f"{PROSE} {PROSE}"
+    page = f"<div><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><article><p>card</p></article></div>"
+    assert html_text.main_text(page).startswith(f"T {PROSE} {PROSE}")
+    plain = "<div><ul>" + "<li><a href='x'>menu</a></li>" * 8 + f"</ul><div><h2>Head</h2><p>{PROSE}</p><p>{PROSE}</p></div><ul>" + "<li><a href='x'>more</a></li>" * 8 + "</ul></div>"
+    assert html_text.main_text(plain) == f"Head {PROSE} {PROSE}"
+    monkeypatch.setattr(html_text, "clusters", lambda r: np.zeros(len(r), bool))
+    assert html_text.main_text(long) == html_text.main_text(plain) == html_text.main_text(short + long) == ""
+
+
+@pytest.mark.parametrize("tag, attrs", [("div", ""), ("article", ""), ("div", " class='promo'"), ("span", ""), ("nav", "")])
+def test_text_at_every_depth(tag, attrs):
+    """5000 elements inside each other, each with text, in time that grows with their number."""
+    import time
+
+    page = "<article>" + "".join(f"<{tag}{attrs}>line {i} <p>par</p>" for i in range(5000)) + f"</{tag}>" * 5000 + "</article>"
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 2
