@@ -305,6 +305,7 @@ def region(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) ->
     marked = np.flatnonzero(chosen).tolist()
     if not marked:
         return []
+    marked = [i for i in marked if rows[i][1][2] <= 0.5 * len(rows[i][0])] or marked  # smoothing lifts links beside text
     weight: dict[int, int] = {}
     for i in marked:
         owner = parser.owner[rows[i][1][3]]
@@ -318,7 +319,7 @@ def region(parser: Events, rows: list[tuple[str, list]], chosen: np.ndarray) ->
                 outer.add(at)
             at = parser.above[at]
         return [row for row in rows if best <= row[1][3] <= parser.last[best] or row[1][4] and parser.owner[row[1][3]] in outer]
-    held = [line[3] for (_, line), c in zip(rows, chosen, strict=True) if c or line[4]]
+    held = [rows[i][1][3] for i in marked] + [line[3] for _, line in rows if line[4]]
     low, high = min(held), max(held)
     while high > parser.last[low]:
         low = parser.above[low]
