@@ -18,9 +18,9 @@ from .common import crc_remainder, few_files, give_back, materialize, row_id, sl
 #: What is added to each count.
 ADD = 0.1
 #: Training cuts token sequences longer than this into stretches of so many, and reads so many more on each side.
-STRETCH, LEAD = 256, 24
+STRETCH, LEAD = 128, 16
 #: Stretches whose messages are in memory at a time.
-AT_ONCE = 4096
+AT_ONCE = 8192
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -200,33 +200,39 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, h
     back = np.ascontiguousarray(move.T)
     heads = low == 0
     first = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
-    begin = np.r_[0, np.cumsum(live)]
-    where = np.concatenate([rows[t, : live[t]] for t in range(steps)])
+    begin = np.r_[0, np.cumsum(live)].tolist()
+    live = live.tolist()
+    where = np.concatenate([rows[t, : live[t]] for t in range(steps)]).astype(np.intp)
     held = np.empty((k, len(where)), dtype=np.float32)
     seen, scales = [], []
-    now = None
+    now = first
     for t in range(steps):
-        m = live[t]
-        e = emit.take(rows[t, :m], axis=1)
-        now = first * e if now is None else (back @ now[:, :m]) * e
-        scale = now.sum(axis=0)
-        now /= scale
+        e = emit.take(where[begin[t] : begin[t + 1]], axis=1, mode="clip")
+        now = first * e if t == 0 else back @ now[:, : live[t]]
+        if t:
+            now *= e
+        scale = 1 / now.sum(axis=0)
+        now *= scale
         held[:, begin[t] : begin[t + 1]] = now
         seen.append(e)
         scales.append(scale)
-    pairs = np.zeros((k, k))
+    pairs = np.zeros((k, k), dtype=np.float64)
     emits = np.zeros((k, c))
     beta = np.ones((k, live[steps - 1]), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
         alpha = held[:, begin[t] : begin[t + 1]]
-        own = ((low[: live[t]] <= t) & (t < high[: live[t]])).astype(np.float32)
-        alpha *= own
+        if t < LEAD or t >= STRETCH:  # elsewhere all is the stretch's own
+            alpha *= ((low[: live[t]] <= t) & (t < high[: live[t]])).astype(np.float32)
         if t < steps - 1:
-            ahead = beta * seen[t + 1]
-            ahead /= scales[t + 1]
-            pairs += (alpha[:, : ahead.shape[1]] @ ahead.T) * move
-            beta = np.ones((k, live[t]), dtype=np.float32)
-            beta[:, : ahead.shape[1]] = move @ ahead
+            ahead = seen[t + 1]
+            ahead *= beta
+            ahead *= scales[t + 1]
+            pairs += (alpha[:, : live[t + 1]] @ ahead.T) * move
+            if live[t] == live[t + 1]:
+                beta = move @ ahead
+            else:
+                beta = np.ones((k, live[t]), dtype=np.float32)
+                beta[:, : live[t + 1]] = move @ ahead
         alpha *= beta  # its forward part is used up
     starts = held[:, : live[0]][:, heads].sum(axis=1, dtype=np.float64)
     for j in range(k):
