@@ -1,4 +1,9 @@
-"""Corpus pipeline: from raw documents to encoded training sequences."""
+"""Corpus pipeline: from raw documents to encoded training sequences.
+
+Every stage takes an empty table to an empty result, reads texts of any length
+whole, treats rows that repeat as rows of their own unless it removes copies, and
+passes on further columns, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +19,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which the language model finds a language; texts without a letter, or of no clear language, go.
 
     The model learns from the labelled rows of ``docs`` themselves. With four
-    languages chance gives a score of 0.25; what lies below 0.3 is rejected.
+    languages chance gives a score of 0.25; what lies below 0.3 is rejected. Null and
+    empty texts have no letter and go; rows with null lang or doc_id are judged by
+    their text like all others.
     """
     return langid.keep_identified(docs, langid.train(docs), least=0.3)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that of the largest doc_id."""
+    """One row of each group of equal texts: that of the largest doc_id, null ids last, ties by place; null equals empty."""
     return exact_dedup.keep_one(docs, keep="max")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of similar texts: that of the smallest doc_id."""
+    """One row of each class of similar texts: that of the smallest doc_id, null ids last, ties by place.
+
+    Texts without words (null, empty, white space) all stay.
+    """
     return near_dup.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row per document and pass over its source, with the words taken."""
+    """Sources at their target weights: a row per document and pass over its source, with the words taken, by shard and place.
+
+    Null is a source of its own, the last; null and empty texts hold no words, so no pass takes them.
+    """
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text they decode to."""
+    """Token ids of each text, and the text they decode to; null and empty texts have none and an empty one."""
     return bpe.bpe_encode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
