@@ -35,16 +35,53 @@ def similarity_scores(targets: DataFrame, candidates: DataFrame, fingerprints: D
     return t.join(c, ["pair", "file_digest"]).groupBy("pair", "target_digest", "candidate_digest").agg(F.sum("size").cast("long").alias("score"))
 
 
+def nearest_in_size(targets: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(pair, target_digest, candidate_digest): of each target the ``k`` candidates next below (or equal) and above in size, ties by digest.
+
+    The best ``k`` by distance are among these. Candidates are numbered by size within
+    the pair, a target's place is the number of candidates up to its size, and places
+    are joined with numbers, so a target meets 2 ``k`` candidates. Numbers are counted
+    within ranges of sizes and added to the sums of the ranges before: no window
+    holds all layers of a pair.
+    """
+    band = lambda size: F.floor(F.log2(size + 1) * 32).cast("int")
+    c = candidates.withColumn("band", band(F.col("candidate_size")))
+    before = Window.partitionBy("pair").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of sizes
+    bases = c.groupBy("pair", "band").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("upto", F.col("base") + F.col("n"))
+    own = Window.partitionBy("pair", "band")
+    numbered = c.select("pair", "band", "candidate_digest", *[F.row_number().over(own.orderBy("candidate_size", order)).alias(name) for name, order in (("low", F.desc("candidate_digest")), ("high", F.asc("candidate_digest")))])
+    numbered = numbered.join(bases.select("pair", "band", "base"), ["pair", "band"])
+    # a target's place: candidates of smaller ranges, and those of its own range up to its size
+    t = targets.select("pair", "target_digest", "target_size").withColumn("band", band(F.col("target_size")))
+    both = t.select("pair", "band", F.col("target_size").alias("size"), F.lit(1).alias("asks"), "target_digest").unionByName(c.select("pair", "band", F.col("candidate_size").alias("size"), F.lit(0).alias("asks"), F.lit(None).cast("string").alias("target_digest")))
+    running = own.orderBy("size", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = both.withColumn("within", F.sum(1 - F.col("asks")).over(running)).where("asks = 1").select("pair", "band", "target_digest", "within")
+    # ranges without candidates take the sum of the last range before them
+    sums = asked.select("pair", "band").distinct().join(bases.select("pair", F.col("band").alias("b"), "upto"), "pair").where("b < band").groupBy("pair", "band").agg(F.max("upto").alias("below"))
+    placed = asked.join(sums, ["pair", "band"], "left").withColumn("place", F.coalesce("below", F.lit(0)) + F.col("within"))
+    out = None
+    for name, first, last in (("low", 1 - k, 0), ("high", 1, k)):
+        near = placed.select("pair", "target_digest", F.explode(F.sequence(F.col("place") + first, F.col("place") + last)).alias("number"))
+        met = near.join(numbered.select("pair", "candidate_digest", (F.col("base") + F.col(name)).alias("number")), ["pair", "number"]).select("pair", "target_digest", "candidate_digest")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def pick_top_k(targets: DataFrame, baseline: DataFrame, scores: DataFrame | None, k: int = 3) -> DataFrame:
     """The ``k`` best references per target: score down, distance in size up, digest up.
 
     Candidates without a score count as 0, so that size decides; without ``scores``
     (no fingerprints) size decides for all. ``k`` <= 0 or no candidate: no rows.
+    Ranked are the candidates with a score and those nearest in size: if fewer than
+    ``k`` have a score, the ``k`` nearest hold all that are needed besides.
     """
     t = targets.select("pair", F.col("digest").alias("target_digest"), F.col("size").alias("target_size")).distinct()
     c = baseline.groupBy("pair", F.col("digest").alias("candidate_digest")).agg(F.max("size").alias("candidate_size"))
-    met = t.join(c, "pair")
-    met = met.withColumn("score", F.lit(0).cast("long")) if scores is None else met.join(scores, ["pair", "target_digest", "candidate_digest"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    keys = ["pair", "target_digest", "candidate_digest"]
+    met = nearest_in_size(t, c, max(k, 1)).withColumn("score", F.lit(0).cast("long"))
+    if scores is not None:
+        met = met.unionByName(scores.select(*keys, "score")).groupBy(*keys).agg(F.max("score").alias("score"))
+    met = met.join(t, ["pair", "target_digest"]).join(c, ["pair", "candidate_digest"])
     met = met.withColumn("distance", F.abs(F.col("target_size") - F.col("candidate_size")))
     order = Window.partitionBy("pair", "target_digest").orderBy(F.desc("score"), "distance", "candidate_digest")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests
 from ..operators import plan
+from ..storage import written
 
 #: Sources src0 .. src19 make 19 consecutive pairs.
 PAIRS = 19
@@ -34,18 +35,19 @@ def pairs(spark: SparkSession) -> DataFrame:
     return spark.range(PAIRS).select(F.concat(F.lit("src"), i, F.lit("-src"), i + 1).alias("pair"), F.concat(F.lit("src"), i).alias("baseline_image"), F.concat(F.lit("src"), i + 1).alias("target_image"))
 
 
-def side(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Layers of each pair's target or baseline image."""
+def side(spark: SparkSession, sf_dir: str, which: str, every: DataFrame | None = None) -> DataFrame:
+    """Layers of each pair's target or baseline image; ``every``: all layers, if they are at hand."""
     own = pairs(spark).select("pair", F.col(f"{which}_image").alias("image"))
-    return layers(spark, sf_dir).join(own, "image").drop("image")
+    return (layers(spark, sf_dir) if every is None else every).join(own, "image").drop("image")
 
 
-def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.compute_plan(side(spark, sf_dir, "target"), side(spark, sf_dir, "baseline"))
+def planned(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    every = written(layers(spark, sf_dir), "layers") if every is None else every
+    return plan.compute_plan(side(spark, sf_dir, "target", every), side(spark, sf_dir, "baseline", every))
 
 
-def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planned(spark, sf_dir).where("part = 'shipped'").drop("part")
+def shipped(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    return planned(spark, sf_dir, every).where("part = 'shipped'").drop("part")
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,28 +57,31 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.dedup_fingerprints(lines.select("layer_digest", digests.digest(F.col("line")).alias("file_digest"), F.octet_length("line").cast("long").alias("size")))
 
 
-def top_candidates(spark: SparkSession, sf_dir: str, k: int = 3, scored: bool = True) -> DataFrame:
-    ship, base = shipped(spark, sf_dir), side(spark, sf_dir, "baseline")
-    scores = plan.similarity_scores(ship, base, fingerprints(spark, sf_dir)) if scored else None
+def top_candidates(spark: SparkSession, sf_dir: str, k: int = 3, scored: bool = True, every: DataFrame | None = None, ship: DataFrame | None = None) -> DataFrame:
+    every = written(layers(spark, sf_dir), "layers") if every is None else every
+    ship, base = written(shipped(spark, sf_dir, every), "shipped") if ship is None else ship, side(spark, sf_dir, "baseline", every)
+    scores = written(plan.similarity_scores(ship, base, written(fingerprints(spark, sf_dir), "fingerprints")), "scores") if scored else None
     return plan.pick_top_k(ship, base, scores, k)
 
 
-def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encodings(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
     """Encoding of every shipped layer by model cost: size less shared size, one at least; patches need a shared file."""
-    ship = shipped(spark, sf_dir)
-    trials = top_candidates(spark, sf_dir).withColumn("cost", F.greatest(F.col("target_size") - F.col("score"), F.lit(1))).withColumn("ceiling", F.when(F.col("score") > 0, F.col("target_size")).otherwise(0))
+    every = written(layers(spark, sf_dir), "layers") if every is None else every
+    ship = written(shipped(spark, sf_dir, every), "shipped")
+    tops = top_candidates(spark, sf_dir, every=every, ship=ship)
+    trials = tops.withColumn("cost", F.greatest(F.col("target_size") - F.col("score"), F.lit(1))).withColumn("ceiling", F.when(F.col("score") > 0, F.col("target_size")).otherwise(0))
     return plan.choose_best(ship, plan.ship_refs(ship), trials)
 
 
-def model_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blobs of the model archive, one per digest."""
+def model_blobs(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    """The blobs of the model archive, one per digest, written once for all that uses them."""
     best = F.min(F.struct("pair", "layer_idx", "size", "media_type", "encoding", "codec", "patch_from_digest", "archive_size")).alias("b")
-    return encodings(spark, sf_dir).groupBy("digest").agg(best).select("digest", "b.size", "b.media_type", "b.encoding", "b.codec", "b.patch_from_digest", "b.archive_size")
+    return written(encodings(spark, sf_dir, every).groupBy("digest").agg(best).select("digest", "b.size", "b.media_type", "b.encoding", "b.codec", "b.patch_from_digest", "b.archive_size"), "blobs")
 
 
-def target_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def target_layers(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
     """Target layers with the pair as image."""
-    return side(spark, sf_dir, "target").withColumnRenamed("pair", "image")
+    return side(spark, sf_dir, "target", every).withColumnRenamed("pair", "image")
 
 
 def month_layers(spark: SparkSession, sf_dir: str) -> DataFrame:

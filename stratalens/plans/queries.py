@@ -142,9 +142,10 @@ def best_encoding_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def best_encoding_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real patch sizes: every shipped layer against its candidates, by the codec."""
-    ship = A.shipped(spark, sf_dir)
+    every = A.written(A.layers(spark, sf_dir), "layers")
+    ship = A.written(A.shipped(spark, sf_dir, every), "shipped")
     bytes_of = A.table(spark, sf_dir, "documents").select(digests.digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("content")).dropDuplicates(["digest"])
-    tops = A.top_candidates(spark, sf_dir).select("pair", "target_digest", "candidate_digest", "target_size", "rank")
+    tops = A.top_candidates(spark, sf_dir, every=every, ship=ship).select("pair", "target_digest", "candidate_digest", "target_size", "rank")
     trials = codec.trial_sizes(tops, bytes_of)
     best = plan.choose_best(ship, plan.ship_refs(ship), trials)
     return best.select("pair", "layer_idx", "digest", "size", "encoding", "patch_from_digest", "archive_size")
@@ -182,7 +183,8 @@ def image_budget_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.layer_rows(A.target_layers(spark, sf_dir), A.model_blobs(spark, sf_dir))
+    every = A.written(A.layers(spark, sf_dir), "layers")
+    return inspect.layer_rows(A.target_layers(spark, sf_dir, every), A.model_blobs(spark, sf_dir, every))
 
 
 @query(f"{ROWS} SELECT * FROM layer_rows")
@@ -346,8 +348,9 @@ status AS (SELECT pair AS image, CASE WHEN pair LIKE 'src1%' THEN 'error' WHEN l
 
 def status_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preflight against baselines that have lost their layers of type de; pairs named src1... have none."""
-    needs = apply.required(A.target_layers(spark, sf_dir), A.model_blobs(spark, sf_dir))
-    have = A.side(spark, sf_dir, "baseline").where("media_type <> 'de'").select(F.col("pair").alias("image"), "digest")
+    every = A.written(A.layers(spark, sf_dir), "layers")
+    needs = apply.required(A.target_layers(spark, sf_dir, every), A.model_blobs(spark, sf_dir, every))
+    have = A.side(spark, sf_dir, "baseline", every).where("media_type <> 'de'").select(F.col("pair").alias("image"), "digest")
     images = A.pairs(spark).select(F.col("pair").alias("image"))
     return apply.preflight(images, needs, have, images.where(~F.col("image").like("src1%")))
 
@@ -370,12 +373,13 @@ SELECT pair AS image, coalesce(missing, 0) AS missing, coalesce(unexpected, 0) A
 FROM pairs LEFT JOIN m ON m.image = pair LEFT JOIN u ON u.image = pair LEFT JOIN w ON w.image = pair""")
 def invariant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rebuilt images with faults: one lost its fr layers, one has a layer too many, some sizes are off by one."""
-    expected = A.target_layers(spark, sf_dir)
+    every = A.written(A.layers(spark, sf_dir), "layers")
+    expected = A.target_layers(spark, sf_dir, every)
     size = F.when(F.col("digest") < "sha256:08", F.col("size") + 1).otherwise(F.col("size"))
     actual = expected.where(~(F.col("image").like("src2-%") & (F.col("media_type") == "fr"))).select("image", "digest", size.alias("size"))
     actual = actual.unionByName(spark.range(1).select(F.lit("src4-src5").alias("image"), F.lit("sha256:unexpected").alias("digest"), F.lit(1).cast("long").alias("size")))
     images = A.pairs(spark).select(F.col("pair").alias("image"))
-    return apply.invariant(images, expected, actual, A.model_blobs(spark, sf_dir))
+    return apply.invariant(images, expected, actual, A.model_blobs(spark, sf_dir, every))
 
 
 @query(f"""{SIDES},

@@ -86,3 +86,25 @@ def test_ranking_does_not_depend_on_partitions(spark, parts):
         assert [r.candidate_digest for r in got] == ["d1", "d10", "d13", "d16", "d19"]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_top_k_against_all_pairs(spark):
+    """Sizes with many ties and gaps, some candidates with scores, against every candidate of the pair compared."""
+    import random
+
+    rnd = random.Random(6)
+    sizes = [0, 1, 2, 3, 50, 50, 51, 1000, 1001, 10**6, 10**9]
+    targets = [(p, f"t{i}", rnd.choice(sizes)) for p in ("a", "b", "c") for i in range(25)]
+    cands = [(p, f"c{i:02d}", rnd.choice(sizes)) for p, n in (("a", 40), ("b", 2)) for i in range(n)]
+    scores = [(p, t, c, rnd.randint(1, 3)) for p, t, _ in targets for q, c, _ in cands if p == q and rnd.random() < 0.05]
+    df = lambda rows: spark.createDataFrame([(p, 0, d, s, "m") for p, d, s in rows], "pair string, layer_idx int, digest string, size long, media_type string")
+    held = spark.createDataFrame(scores, "pair string, target_digest string, candidate_digest string, score long")
+    for given in (None, held):
+        known = {} if given is None else {(p, t, c): s for p, t, c, s in scores}
+        for k in (0, 1, 3, 7):
+            want = []
+            for p, t, size in targets:
+                order = sorted((-known.get((p, t, c), 0), abs(size - s), c) for q, c, s in cands if p == q)
+                want += [(p, t, c, i + 1) for i, (_, _, c) in enumerate(order[:k])]
+            got = plan.pick_top_k(df(targets), df(cands), given, k).select("pair", "target_digest", "candidate_digest", "rank").collect()
+            assert sorted(map(tuple, got)) == sorted(want), k
