@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,20 @@ def numbered(df: DataFrame, tag: str, name: str) -> DataFrame:
     return materialize(df.withColumn(name, row_id()), tag)
 
 
+def keyed(df: DataFrame, tag: str, name: str) -> DataFrame:
+    """``df`` with a key of each row, the same in every scan, in the new column ``name``.
+
+    A row of a plain Parquet scan is known by its file (a 64-bit hash of the path) and
+    its number in the file, which no split changes. Other frames are numbered and written.
+    """
+    if "_metadata" not in df.columns and df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+        except AnalysisException:  # a format without row numbers
+            pass
+    return numbered(df, tag, name)
+
+
 def hash_mod(col: Column, n: int, seed: int = 0) -> Column:
     """A bucket 0..n-1 from a 64-bit hash."""
     return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(n)).cast("int")

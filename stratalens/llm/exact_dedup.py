@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, fresh, materialize, numbered, row_id
+from .common import dealt_anew, fresh, keyed, materialize, row_id
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +75,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     whole; an empty table gives an empty result.
     """
     row = fresh(df.columns, "__row")
-    df = numbered(df, "dedup-docs", row)
+    df = keyed(df, "dedup-docs", row)
     gone = materialize(exact_dedup(df, id_col, text_col, keep, row_col=row).where(~F.col("kept")).select(F.col("row_id").alias(row)), "dedup-gone", gathered=True)
     return df.join(gone, row, "left_anti").drop(row)

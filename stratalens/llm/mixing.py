@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, materialize, numbered, row_id
+from .common import WORD, fresh, keyed, materialize, row_id
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -159,7 +159,7 @@ def mix(
         "source_size",
         "target",
         *[F.when(real, F.col(c)).alias(c) for c in ("epoch", "shard")],
-        F.when(real, F.xxhash64(F.lit(seed + 4), "place", "h", "row_id")).alias("place"),
+        F.when(real, F.xxhash64(F.lit(seed + 4), "place", "h")).alias("place"),
         F.when(real, low - F.col("start")).alias("words_from"),
         F.when(real, high - F.col("start")).alias("words_to"),
     )
@@ -190,7 +190,7 @@ def apply_mix(df: DataFrame, text_col: str = "text", length_col: str = "n_chars"
     """
     columns, kind = df.columns, dict(df.dtypes)
     row, spans, whole, words, shard, place = (fresh(columns, f"__{x}") for x in ("row", "spans", "whole", "words", "shard", "place"))
-    df = numbered(df, "mix-docs", row)
+    df = keyed(df, "mix-docs", row)
     pieces = mix(df, id_col=options.pop("id_col", "doc_id"), text_col=text_col, row_col=row, shards=shards, **options)
     first = F.min(F.struct("words_from", "shard", "place")).alias("first")
     own = pieces.where("epoch is not null").groupBy("row_id", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("words_from", "words_to"))).alias("spans"), F.sum(F.col("words_to") - F.col("words_from")).alias("got"), first)
