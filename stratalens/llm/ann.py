@@ -214,12 +214,12 @@ def nearest(
     top: int = 20,
     components: int = 1 << 20,
     query_block: int = 1024,
-    projections: int = 160,
+    projections: int = 256,
     threshold: float = 0.65,
-    miss: float = 0.06,
+    miss: float = 0.03,
     width: float = 0.2,
-    grow: float = 4.0,
-    ahead: int = 200,
+    grow: float = 2.0,
+    ahead: int = 80,
     seed: int = 11,
 ) -> DataFrame:
     """The ``top`` rows of largest inner product for each query: query_id, rank, vec_id, score.
