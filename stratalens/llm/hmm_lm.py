@@ -18,9 +18,9 @@ from .common import crc_remainder, few_files, give_back, materialize, row_id, sl
 #: What is added to each count.
 ADD = 0.1
 #: Training cuts token sequences longer than this into stretches of so many, and reads so many more on each side.
-STRETCH, LEAD = 128, 16
+STRETCH, LEAD = 256, 24
 #: Stretches whose messages are in memory at a time.
-AT_ONCE = 8192
+AT_ONCE = 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
