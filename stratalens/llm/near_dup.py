@@ -246,13 +246,13 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 30, band_rows: int = 6, chunk: int = 2 << 20, row_col: str | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, chunk: int = 2 << 20, row_col: str | None = None
 ) -> DataFrame:
     """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
 
     Equal word sequences count once. Of the others, ``bands`` times ``band_rows``
     BagMinHash components are banded: a pair of similarity 0.8 shares a band with a
-    probability of 0.9999. Rows of a band's bucket are verified against its
+    probability of 0.999997. Rows of a band's bucket are verified against its
     smallest row, exactly, by multiset overlap; buckets whose other rows are then
     in several components are compared pair by pair in bounded cells, so a bucket's
     links are all found. Components of the links are the classes.
