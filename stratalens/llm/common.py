@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Token of the corpus statistics: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folders made for sessions on one machine that name none, by application.
+MADE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
     Where ``spark.checkpoint.dir`` is unset on one machine, as in tests, a temporary
-    folder is made once and set. On a cluster that is an error: a folder of one
+    folder is made once. On a cluster that is an error: a folder of one
     machine would lose what executors write.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="stratalens-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId  # the setting itself cannot change while a session runs
+        found = MADE.get(app) or MADE.setdefault(app, "file://" + tempfile.mkdtemp(prefix="stratalens-"))
     return found
 
 
