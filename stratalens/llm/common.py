@@ -6,7 +6,8 @@ import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Folders made for sessions on one machine that name none, by application.
 MADE: dict[str, str] = {}
+#: Paths of the tables written on the way to a condensed one; None outside of that.
+PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +63,32 @@ def materialize(df: DataFrame, tag: str, gathered: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (passing := PASSING.get()) is not None:
+        passing.append(path)
     (few_files(df, 1) if gathered else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def condensed(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written by :func:`materialize`; the tables that it wrote on the way are deleted.
+
+    Only the written result may be read afterwards. It does not depend on the deleted
+    tables, so lost executors cost nothing then either. Should ``make`` or the writing
+    fail, the tables stay.
+    """
+    token = PASSING.set(passing := [])
+    try:
+        found = make()
+    finally:
+        PASSING.reset(token)
+    kept = materialize(found, tag, gathered=True)
+    context = found.sparkSession.sparkContext
+    for name in passing:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """``df`` with its long or binary key passed through an expression that changes nothing.
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, fresh, give_back, materialize, numbered, row_id, slices, small_batches
+from .common import condensed, dealt_anew, fresh, give_back, materialize, numbered, row_id, slices, small_batches
 from .graph import components
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -245,25 +245,8 @@ def link_cells(members: DataFrame, texts: DataFrame, least: float, chunk: int) -
     return full.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, chunk: int = 2 << 20, row_col: str | None = None
-) -> DataFrame:
-    """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
-
-    Equal word sequences count once. Of the others, ``bands`` times ``band_rows``
-    BagMinHash components are banded: a pair of similarity 0.8 shares a band with a
-    probability of 0.999997. Rows of a band's bucket are verified against its
-    smallest row, exactly, by multiset overlap; buckets whose other rows are then
-    in several components are compared pair by pair in bounded cells, so a bucket's
-    links are all found. Components of the links are the classes.
-
-    Returns per input row: row_id, ``id_col`` (long), class_id (smallest id of the
-    class), class_size, kept (one row of each class: that of the smallest id, null
-    ids last, then the first of the scan). Texts without words (null, empty, white
-    space) are classes of their own. Repeated rows are one class. An empty table
-    gives an empty result; other columns are not read. ``row_col``: numbers that the
-    written rows of ``df`` have already.
-    """
+def components_of(df: DataFrame, id_col: str, text_col: str, width: int, least: float, bands: int, band_rows: int, chunk: int, row_col: str | None) -> DataFrame:
+    """(row, id, part) of each text: ``part`` is the smallest row of its component of links; see :func:`near_duplicates`."""
     number = F.col(f"`{row_col}`") if row_col else row_id()
     docs = df.select(number.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     if not row_col:
@@ -304,8 +287,29 @@ def near_duplicates(
     if not more.isEmpty():
         parts = components(parts.unionByName(more))
 
-    placed = rows.join(parts.select(F.col("u").alias("first"), F.col("v").alias("part")), "first", "left").select("row", "id", F.coalesce("part", "first").alias("part"))
-    placed = materialize(placed, "near-placed", gathered=True)
+    return rows.join(parts.select(F.col("u").alias("first"), F.col("v").alias("part")), "first", "left").select("row", "id", F.coalesce("part", "first").alias("part"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, chunk: int = 2 << 20, row_col: str | None = None
+) -> DataFrame:
+    """Classes of texts linked by a multiset similarity of ``width``-word shingles of ``least`` or more.
+
+    Equal word sequences count once. Of the others, ``bands`` times ``band_rows``
+    BagMinHash components are banded: a pair of similarity 0.8 shares a band with a
+    probability of 0.999997. Rows of a band's bucket are verified against its
+    smallest row, exactly, by multiset overlap; buckets whose other rows are then
+    in several components are compared pair by pair in bounded cells, so a bucket's
+    links are all found. Components of the links are the classes.
+
+    Returns per input row: row_id, ``id_col`` (long), class_id (smallest id of the
+    class), class_size, kept (one row of each class: that of the smallest id, null
+    ids last, then the first of the scan). Texts without words (null, empty, white
+    space) are classes of their own. Repeated rows are one class. An empty table
+    gives an empty result; other columns are not read. ``row_col``: numbers that the
+    written rows of ``df`` have already.
+    """
+    placed = condensed(lambda: components_of(df, id_col, text_col, width, least, bands, band_rows, chunk, row_col), "near-placed")
     best = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best")
     classes = placed.groupBy("part").agg(best, F.count("*").alias("n")).where("n > 1").select("part", F.col("best.id").alias("class_id"), F.col("best.row").alias("stays"), "n")
     out = placed.join(dealt_anew(classes, "part"), "part", "left")

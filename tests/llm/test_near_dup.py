@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratalens.llm import exact_dedup, graph, mixing, near_dup, queries
+from stratalens.llm import common, exact_dedup, graph, mixing, near_dup, queries
 
 
 def bag(t, width=5):
@@ -170,3 +170,14 @@ def test_cells_between_parts(spark):
 def test_filter_grows_with_the_rows():
     assert near_dup.filter_bits(0) == near_dup.filter_bits(1000) == 1 << 20
     assert near_dup.filter_bits(1 << 20) == 1 << 24 and near_dup.filter_bits(10**9) == 1 << 28
+
+
+def test_tables_on_the_way_are_deleted(spark, smallest, tmp_path, monkeypatch):
+    """The result is read from what stays: the classes alone, and for kept rows the numbered rows too."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    docs = spark.read.parquet(f"{smallest}/documents.parquet")
+    found = near_dup.near_duplicates(docs)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"near-placed"}
+    kept = near_dup.keep_one(docs)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"near-placed", "near-docs", "near-gone"}
+    assert found.count() == docs.count() and found.where("kept").count() == kept.count()
