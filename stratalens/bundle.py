@@ -9,8 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import shutil
+import tarfile
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from .functions import codec, digests, refs
 from .functions.errors import ContentError, EnvironmentFault, StratalensError, UserError
 from .operators import apply, inspect, plan, sidecar
 from .sources import archives, images, tarfiles
+from .storage import written
 
 IMAGES = (
     "position int, name string, baseline_manifest_digest string, baseline_media_type string, source_hint string, target_manifest_digest string, target_manifest_size long, target_media_type string, "
@@ -59,16 +64,21 @@ def check_pairs(spark: SparkSession, pairs: list[Pair]) -> None:
         raise UserError("; ".join(sorted(f"{r.subject}: {r.rule}" for r in bad)))
 
 
-def _load(spark: SparkSession, which: list[str], platform: str, digests_: list[str] | None = None) -> DataFrame:
+def _load(spark: SparkSession, which: list[str], platform: str, digests_: list[str] | None = None, content: bool = True) -> DataFrame:
     archives.register(spark)
-    reader = spark.read.format("layers").option("platform", platform).option("content", "true")
+    reader = spark.read.format("layers").option("platform", platform).option("content", str(content).lower())
     if digests_ is not None:
         reader = reader.option("digests", ",".join(digests_))
     return reader.load("\n".join(sorted(set(which))))
 
 
 def _encode(spark: SparkSession, pairs: list[Pair], settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, bytes]]:
-    """Shipped layers with their encoding, contents by digest, images, and the small blobs (manifests, configs)."""
+    """Shipped layers with their encoding, contents by digest, images, and the small blobs (manifests, configs).
+
+    The plan reads manifests alone; layers are read for fingerprints, trials and the
+    archive. Encodings are written once, so that no trial runs twice. A layer whose
+    window needs more than the memory budget is an error before any is read.
+    """
     check_pairs(spark, pairs)
     mode = codec.resolve_mode(settings.intra_layer)
     rows, small = [], {}
@@ -79,38 +89,50 @@ def _encode(spark: SparkSession, pairs: list[Pair], settings: Settings) -> tuple
         small[target.manifest["config"]["digest"]] = config
         rows.append((i, p.name, _digest(base.raw), base.manifest["mediaType"], p.baseline, _digest(target.raw), len(target.raw), target.manifest["mediaType"], target.manifest["config"]["digest"], len(config), target.manifest["config"].get("mediaType")))
     listed = spark.createDataFrame(rows, IMAGES).withColumn("source_hint", refs.source_hint(F.col("source_hint")))
-    every = _load(spark, [r for p in pairs for r in (p.baseline, p.target)], settings.platform)
+    sources = [r for p in pairs for r in (p.baseline, p.target)]
+    every = _load(spark, sources, settings.platform, content=False)
     named = spark.createDataFrame([(p.name, p.baseline, p.target) for p in pairs], "pair string, baseline string, target string")
     side = lambda which: every.drop("content").join(named.select("pair", F.col(which).alias("image")), "image").select("pair", "layer_idx", "digest", "size", "media_type")
     target, base = side("target"), side("baseline")
     shipped = plan.compute_plan(target, base).where("part = 'shipped'").drop("part")
+    if over := plan.over_budget(shipped, settings.budget_bytes(), settings.window_log).first():
+        raise UserError(f"layer {over.digest} of {over.pair} needs {over.est_rss} bytes, the memory budget is {settings.budget_bytes()}")
     uses = plan.ship_refs(shipped)
-    contents = every.select("digest", "content").dropDuplicates(["digest"])
+    contents = _load(spark, sources, settings.platform).select("digest", "content").dropDuplicates(["digest"])  # equal digests, equal bytes
     if mode == "off":
         trials = spark.createDataFrame([], "pair string, target_digest string, candidate_digest string, rank int, cost long, ceiling long")
     else:
         single = shipped.join(uses.where("ship_refs = 1").select("digest"), "digest", "left_semi")
         files = tarfiles.fingerprint(contents).where("file_digest is not null").select("layer_digest", "file_digest", "size")
         tops = plan.pick_top_k(single, base, plan.similarity_scores(single, base, files), settings.candidates)
-        trials = codec.trial_sizes(tops.select("pair", "target_digest", "candidate_digest", "target_size", "rank"), contents, settings.level)
-    return plan.choose_best(shipped, uses, trials), contents, listed, small
+        trials = codec.trial_sizes(tops.select("pair", "target_digest", "candidate_digest", "target_size", "rank"), contents, settings.level, settings.window_log)
+    return written(plan.choose_best(shipped, uses, trials), "encodings"), contents, listed, small
+
+
+def _pool(chosen: DataFrame) -> DataFrame:
+    """One encoding per digest: of several, the first by (pair, layer_idx)."""
+    names = [c for c in chosen.columns if c not in ("pair", "layer_idx", "digest")]
+    first = F.min(F.struct("pair", "layer_idx", *names)).alias("e")
+    return chosen.groupBy("digest").agg(first).select(*(F.col("digest") if c == "digest" else F.col(f"e.{c}") for c in chosen.columns))
 
 
 def dry_run(spark: SparkSession, pairs: list[Pair], settings: Settings | None = None) -> DataFrame:
     """Per pair: shipped layers and archive bytes, from the same choices as :func:`diff`."""
     chosen, _, _, _ = _encode(spark, pairs, settings or Settings())
-    return plan.export_dry_run(chosen, chosen.dropDuplicates(["digest"]))
+    return plan.export_dry_run(chosen, _pool(chosen))
 
 
 def diff(spark: SparkSession, pairs: list[Pair], output: str, settings: Settings | None = None, created_at: str = "1970-01-01T00:00:00Z") -> str:
     """Write the archive that, with the baselines, holds all targets; returns its path."""
     settings = settings or Settings()
     chosen, contents, listed, small = _encode(spark, pairs, settings)
-    chosen = chosen.dropDuplicates(["digest"])
+    chosen = _pool(chosen)
     blobs = sidecar.seed_blobs(listed, chosen)
     doc = sidecar.assemble(listed, blobs, settings.platform, "stratalens", "1", created_at).first().json
     patches = chosen.where("encoding = 'patch'").select("pair", F.col("digest").alias("target_digest"), F.col("patch_from_digest").alias("candidate_digest"))
-    packed = codec.encode_patches(patches, contents, settings.level).select(F.col("target_digest").alias("digest"), F.col("patch").alias("content"))
+    packed = written(codec.encode_patches(patches, contents, settings.level, settings.window_log).select(F.col("target_digest").alias("digest"), F.col("patch").alias("content")), "patches")
+    if odd := packed.join(chosen.select("digest", "archive_size"), "digest").where(F.octet_length("content") != F.col("archive_size")).select("digest").first():
+        raise ContentError(f"the patch of {odd.digest} has another size than its trial")
     whole = contents.join(chosen.where("encoding = 'full'").select("digest"), "digest", "left_semi")
     own = spark.createDataFrame(list(small.items()), "digest string, content binary")
     archives.write_archive(output, doc, whole.unionByName(packed).unionByName(own))
@@ -203,6 +225,8 @@ def _write_image(ref: str, manifest: bytes, config: bytes, layers: DataFrame, or
         raise EnvironmentFault("registries cannot be reached from here")
     path, _, tag = place.partition(":")
     top = f"{path}.folder" if transport == "oci-archive" else path
+    if transport == "oci-archive" and os.path.isdir(top):
+        raise ContentError(f"{top} is in the way")
     name = (lambda d: d.partition(":")[2]) if transport == "dir" else images.blob_path
 
     def put(rel: str, data: bytes) -> None:
@@ -212,6 +236,17 @@ def _write_image(ref: str, manifest: bytes, config: bytes, layers: DataFrame, or
             f.write(data)
         os.replace(full + ".part", full)
 
+    try:
+        _put_image(put, name, m, manifest, config, layers, order, transport, media, tag)
+        if transport == "oci-archive":
+            _pack_folder(top, path)
+    finally:
+        if transport == "oci-archive":
+            shutil.rmtree(top, ignore_errors=True)
+
+
+def _put_image(put, name, m: dict, manifest: bytes, config: bytes, layers: DataFrame, order: list[str], transport: str, media: str, tag: str) -> None:
+    """Layers, config, manifest and index of an image, by ``put``."""
     left = set(order)
     for row in layers.toLocalIterator():
         if row.digest in left and row.content is not None:
@@ -228,18 +263,35 @@ def _write_image(ref: str, manifest: bytes, config: bytes, layers: DataFrame, or
     put("oci-layout", b'{"imageLayoutVersion":"1.0.0"}')
     entry = {"mediaType": media, "digest": _digest(manifest), "size": len(manifest), "annotations": {"org.opencontainers.image.ref.name": tag or "latest"}}
     put("index.json", json.dumps({"schemaVersion": 2, "manifests": [entry]}).encode())
-    if transport == "oci-archive":
-        files = sorted((os.path.relpath(os.path.join(d, f), top), os.path.join(d, f)) for d, _, fs in os.walk(top) for f in fs)
-        with open(path, "wb") as out:
-            out.write(tarfiles.pack([(rel, open(full, "rb").read()) for rel, full in files]))
 
 
-def unbundle(spark: SparkSession, path: str, baselines: dict[str, str], outputs: dict[str, str], strict: bool = True) -> DataFrame:
+def _pack_folder(top: str, path: str) -> None:
+    """All files of a folder as a tar, in order of their names, file by file."""
+    with tarfile.open(f"{path}.part", "w", format=tarfile.PAX_FORMAT) as tar:
+        for rel in sorted(os.path.relpath(os.path.join(d, f), top) for d, _, fs in os.walk(top) for f in fs):
+            info = tarfile.TarInfo(rel)
+            info.size, info.mode = os.path.getsize(os.path.join(top, rel)), 0o644
+            with open(os.path.join(top, rel), "rb") as f:
+                tar.addfile(info, f)
+    os.replace(f"{path}.part", path)
+
+
+def _cause(e: Exception) -> str:
+    """What went wrong, in a line: of an error in a Python worker, the worker's own last line."""
+    lines = [x.strip() for x in str(e).splitlines()]
+    named = [x for x in lines if re.match(r"[\w.]*(Error|Fault|Exception): ", x)]
+    return (named or lines or [type(e).__name__])[-1] if isinstance(e, PySparkException) else str(e)
+
+
+def unbundle(spark: SparkSession, path: str, baselines: dict[str, str], outputs: dict[str, str], strict: bool = True, settings: Settings | None = None) -> DataFrame:
     """Rebuild all images of an archive; returns (image, position, status, error).
 
     Strict: any missing baseline, or any image that preflight refuses, is an error
     before anything is written. Otherwise such images are skipped. Every layer is
-    verified before it is written, and every image read back and compared after.
+    verified before it is written, and every image read back and compared after,
+    its manifest's digest too. An image whose blobs are missing or damaged, in the
+    archive or the baseline, is reported as failed and the others go on. An image
+    whose window needs more than the memory budget is an error before any is written.
     If no image succeeds the report still comes; ``apply.apply_report`` sums it up.
     """
     a = open_archive(spark, path)
@@ -247,12 +299,15 @@ def unbundle(spark: SparkSession, path: str, baselines: dict[str, str], outputs:
     checked = {r.image: r for r in preflight(spark, a, opened).collect()}
     if strict and (bad := [r for r in checked.values() if r.status != "ok"]):
         raise ContentError("; ".join(f"{r.image}: {r.status}" for r in bad))
+    settings = settings or Settings()
+    if over := plan.images_over_budget(plan.image_rss(a.layers.join(a.blobs.select("digest"), "digest", "left_semi"), a.blobs, settings.window_log), settings.budget_bytes()).first():
+        raise UserError(f"image {over.image} needs {over.est_rss} bytes, the memory budget is {settings.budget_bytes()}")
     archives.register(spark)
     only = next(iter(a.manifests)) if len(a.manifests) == 1 else None
     places = {only if k == "default" and only else k: v for k, v in outputs.items()}
     rows = []
     for r in sorted(a.images.collect(), key=lambda r: r.position):
-        name, status, why = r.name, "ok", None
+        name, status, why = r.name, "failed_compose", None
         if checked[name].status != "ok":
             rows.append((name, r.position, "skipped_preflight", checked[name].status))
             continue
@@ -271,12 +326,14 @@ def unbundle(spark: SparkSession, path: str, baselines: dict[str, str], outputs:
             m = json.loads(a.manifests[name])
             config = dict(archives.read_members(path, {images.blob_path(m["config"]["digest"])}))[images.blob_path(m["config"]["digest"])]
             _write_image(places[name], a.manifests[name], config, rebuild(own, a.blobs, stored, base), order)
-        except (StratalensError, OSError) as e:
-            status, why = "failed_compose", str(e)
-        else:
-            back = _load(spark, [places[name]], "").select(F.lit(name).alias("image"), "digest", "size")
-            bad = apply.invariant(own.select("image").distinct(), own, back, a.blobs).first().reason
-            if bad:
-                status, why = "failed_invariant", bad
+            status = "failed_invariant"
+            back = _load(spark, [places[name]], "", content=False).select(F.lit(name).alias("image"), "digest", "size")
+            made = images.open_image(places[name])
+            types = (name, r.target_manifest_digest, m.get("mediaType") or refs.OCI_V1, _digest(made.raw), made.manifest["mediaType"])
+            kept = spark.createDataFrame([types], "image string, expected_digest string, expected_type string, actual_digest string, actual_type string")
+            why = apply.invariant(own.select("image").distinct(), own, back, a.blobs, kept).first().reason
+            status = status if why else "ok"
+        except (StratalensError, OSError, PySparkException) as e:
+            why = _cause(e)
         rows.append((name, r.position, status, why))
     return spark.createDataFrame(rows, "image string, position int, status string, error string")

@@ -78,8 +78,11 @@ def _with_bytes(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return pairs.join(t, "target_digest").join(c, "candidate_digest")
 
 
-def trial_sizes(candidates: DataFrame, contents: DataFrame, level: int = sizes.DEFAULT_LEVEL) -> DataFrame:
-    """``candidates`` with ``cost``, the patch's bytes, and ``ceiling``, those of the target compressed whole."""
+def trial_sizes(candidates: DataFrame, contents: DataFrame, level: int = sizes.DEFAULT_LEVEL, window: int = 0) -> DataFrame:
+    """``candidates`` with ``cost``, the patch's bytes, and ``ceiling``, those of the target compressed whole.
+
+    Windows are those of :func:`encode_patches`, so ``cost`` is what it will write.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,19 +92,20 @@ def trial_sizes(candidates: DataFrame, contents: DataFrame, level: int = sizes.D
             kept = [batch.column(c) for c in ("pair", "target_digest", "candidate_digest", "rank")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(cost, pa.int64()), pa.array(whole, pa.int64())], names=["pair", "target_digest", "candidate_digest", "rank", "cost", "ceiling"])
 
-    full = _with_bytes(candidates, contents).withColumn("_log", F.least(sizes.window_log(F.col("target_size")), F.lit(27)))
+    full = _with_bytes(candidates, contents).withColumn("_log", sizes.window_log(F.octet_length("_target"), window))
     return full.select("pair", "target_digest", "candidate_digest", "rank", "_target", "_reference", "_log").mapInArrow(run, "pair string, target_digest string, candidate_digest string, rank int, cost long, ceiling long")
 
 
-def encode_patches(pairs: DataFrame, contents: DataFrame, level: int = sizes.DEFAULT_LEVEL) -> DataFrame:
+def encode_patches(pairs: DataFrame, contents: DataFrame, level: int = sizes.DEFAULT_LEVEL, window: int = 0) -> DataFrame:
     """(pair, target_digest, candidate_digest, patch, patch_size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patches = [encode(r, t, level) for t, r in zip(batch.column("_target").to_pylist(), batch.column("_reference").to_pylist(), strict=True)]
+            target, reference, log = (batch.column(c).to_pylist() for c in ("_target", "_reference", "_log"))
+            patches = [encode(r, t, level, w) for t, r, w in zip(target, reference, log, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pair", "target_digest", "candidate_digest")), pa.array(patches, pa.binary())], names=["pair", "target_digest", "candidate_digest", "patch"])
 
-    full = _with_bytes(pairs, contents).select("pair", "target_digest", "candidate_digest", "_target", "_reference")
+    full = _with_bytes(pairs, contents).select("pair", "target_digest", "candidate_digest", "_target", "_reference", sizes.window_log(F.octet_length("_target"), window).alias("_log"))
     return full.mapInArrow(run, "pair string, target_digest string, candidate_digest string, patch binary").withColumn("patch_size", F.octet_length("patch").cast("long"))
 
 

@@ -1,5 +1,6 @@
 """From images to an archive and back."""
 
+import hashlib
 import json
 import random
 
@@ -69,6 +70,42 @@ def test_shared_layers_ship_whole_and_partial_runs(spark, case):
         bundle.unbundle(spark, path, {"a": v2, "b": v1}, {}, strict=False)
 
 
+@pytest.mark.parametrize("damage", ["missing", "truncated"])
+def test_a_damaged_blob_fails_its_image_alone(spark, case, tmp_path, damage):
+    """The baseline of ``b`` loses its first layer after the archive is made; ``a`` is rebuilt all the same."""
+    top, v1, v2 = case
+    r = random.Random(8)
+    kept = tarfiles.pack([("k", r.randbytes(40_000))])
+    other1, other2 = image(tmp_path / "o1", [kept]), image(tmp_path / "o2", [kept, tarfiles.pack([("n", b"other\n")])])
+    path = bundle.diff(spark, [bundle.Pair("b", other1, other2), bundle.Pair("a", v1, v2)], str(tmp_path / "two.tar"), FAST)
+    blob = tmp_path / "o1" / "blobs" / "sha256" / hashlib.sha256(kept).hexdigest()
+    blob.unlink() if damage == "missing" else blob.write_bytes(kept[:100])
+    got = bundle.unbundle(spark, path, {"a": v1, "b": other1}, {"a": f"oci:{tmp_path}/a", "b": f"oci-archive:{tmp_path}/b.tar"}, strict=False)
+    found = {r.image: (r.status, r.error) for r in got.collect()}
+    assert found["a"] == ("ok", None)
+    assert found["b"][0] == "failed_compose" and hashlib.sha256(kept).hexdigest() in found["b"][1] and "\n" not in found["b"][1]
+    assert not (tmp_path / "b.tar").exists() and not (tmp_path / "b.tar.folder").exists()
+
+
+def test_memory_budget(spark, case):
+    top, v1, v2 = case
+    small = Settings(level=3, candidates=2, memory_budget="1KiB")
+    with pytest.raises(UserError, match="memory budget is 1024"):
+        bundle.diff(spark, [bundle.Pair("svc", v1, v2)], str(top / "small.tar"), small)
+    path = bundle.diff(spark, [bundle.Pair("svc", v1, v2)], str(top / "large.tar"), Settings(level=3, candidates=2, memory_budget="0"))
+    with pytest.raises(UserError, match="svc needs"):
+        bundle.unbundle(spark, path, {"svc": v1}, {"svc": f"oci:{top}/small"}, settings=small)
+    assert not (top / "small.tar").exists() and not (top / "small").exists()
+
+
+def test_sizes_of_patches_are_those_of_the_trials(spark, case):
+    top, v1, v2 = case
+    path = bundle.diff(spark, [bundle.Pair("svc", v1, v2)], str(top / "sizes.tar"), FAST)
+    written = {f"{n.split('/')[1]}:{n.split('/')[2]}": len(d) for n, d in archives.read_members(path, None) if n.startswith("blobs/")}
+    blobs = bundle.open_archive(spark, path).blobs.collect()
+    assert any(b.encoding == "patch" for b in blobs) and all(written[b.digest] == b.archive_size for b in blobs)
+
+
 def test_off_and_refusals(spark, case):
     top, v1, v2 = case
     path = bundle.diff(spark, [bundle.Pair("svc", v1, v2)], str(top / "off.tar"), Settings(intra_layer="off"))
