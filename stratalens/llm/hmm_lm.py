@@ -20,7 +20,9 @@ ADD = 0.1
 #: Training cuts token sequences longer than this into stretches of so many, and reads so many more on each side.
 STRETCH, LEAD = 256, 24
 #: Stretches whose messages are in memory at a time.
-AT_ONCE = 4096
+AT_ONCE = 8192
+#: Steps between two scalings of the messages of expected counts; in four steps these stay within single precision.
+SCALED = 4
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -189,19 +191,23 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, h
     stretch have exact counts. Later stretches begin from the chain's stationary
     distribution, and all but the last end without knowing what follows, LEAD tokens
     away. Arrays are states x stretches, so that every step runs along the stretches.
+
+    Emissions are taken relative to the largest of each class, which leaves all
+    expectations as they are and messages near 1; these are scaled at every
+    ``SCALED``-th step and where a stretch ends.
     """
     k, c = hmm.emit.shape
     order = np.argsort(-lengths, kind="stable")
     rows, lengths, low, high = np.ascontiguousarray(rows[order].T), lengths[order], low[order], high[order]
     steps = int(lengths[0])
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    emit = np.ascontiguousarray(hmm.emit, dtype=np.float32)
+    emit = np.ascontiguousarray(hmm.emit / np.maximum(hmm.emit.max(axis=0), 1e-300), dtype=np.float32)
     move = hmm.move.astype(np.float32)
     back = np.ascontiguousarray(move.T)
     heads = low == 0
     first = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
     begin = np.r_[0, np.cumsum(live)].tolist()
-    live = live.tolist()
+    live = [*live.tolist(), 0]
     where = np.concatenate([rows[t, : live[t]] for t in range(steps)]).astype(np.intp)
     held = np.empty((k, len(where)), dtype=np.float32)
     seen, scales = [], []
@@ -211,11 +217,12 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, h
         now = first * e if t == 0 else back @ now[:, : live[t]]
         if t:
             now *= e
-        scale = 1 / now.sum(axis=0)
-        now *= scale
+        since = 0 if t % SCALED == SCALED - 1 else live[t + 1]  # stretches from here on are scaled
+        scale = 1 / now[:, since:].sum(axis=0)
+        now[:, since:] *= scale
         held[:, begin[t] : begin[t + 1]] = now
         seen.append(e)
-        scales.append(scale)
+        scales.append((since, scale))
     pairs = np.zeros((k, k), dtype=np.float64)
     emits = np.zeros((k, c))
     beta = np.ones((k, live[steps - 1]), dtype=np.float32)
@@ -226,7 +233,8 @@ def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, h
         if t < steps - 1:
             ahead = seen[t + 1]
             ahead *= beta
-            ahead *= scales[t + 1]
+            since, scale = scales[t + 1]
+            ahead[:, since:] *= scale
             pairs += (alpha[:, : live[t + 1]] @ ahead.T) * move
             if live[t] == live[t + 1]:
                 beta = move @ ahead
