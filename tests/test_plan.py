@@ -108,3 +108,48 @@ def test_top_k_against_all_pairs(spark):
                 want += [(p, t, c, i + 1) for i, (_, _, c) in enumerate(order[:k])]
             got = plan.pick_top_k(df(targets), df(cands), given, k).select("pair", "target_digest", "candidate_digest", "rank").collect()
             assert sorted(map(tuple, got)) == sorted(want), k
+
+
+def shared_files(spark, seed, ends):
+    """Random layers of two pairs whose files are few, so that many layers share several, and many have the same files."""
+    import random
+
+    rnd = random.Random(seed)
+    files = {f"f{i}": rnd.choice((5, 5, 7, 12, 30)) for i in range(14)}
+    held, targets, cands = {}, [], []
+    for pair in ("a", "b"):
+        for side, out in (("t", targets), ("c", cands)):
+            for i in range(ends):
+                d = f"{pair}{side}{i:03d}"
+                held[d] = {f for j, f in enumerate(files) if rnd.random() < (0.6 if j == 0 else 0.5 / (j + 1))}
+                out.append((pair, 0, d, rnd.choice((1, 2, 3, 40, 41, 41, 900)), "m"))
+    schema = "pair string, layer_idx int, digest string, size long, media_type string"
+    prints = spark.createDataFrame([(d, f, files[f]) for d, x in held.items() for f in x], "layer_digest string, file_digest string, size long")
+    scores = {(p, t, c): sum(files[f] for f in held[t] & held[c]) for p, _, t, _, _ in targets for q, _, c, _, _ in cands if p == q and held[t] & held[c]}
+    return spark.createDataFrame(targets, schema), spark.createDataFrame(cands, schema), prints, scores
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leading_scores_give_the_same_references(spark, seed):
+    target, base, prints_, scores = shared_files(spark, seed, 60)
+    every = spark.createDataFrame([(*k, v) for k, v in scores.items()], "pair string, target_digest string, candidate_digest string, score long")
+    for k in (1, 3, 8):
+        rows = [sorted(map(tuple, plan.pick_top_k(target, base, s, k).select("pair", "target_digest", "candidate_digest", "score", "distance", "rank").collect())) for s in (every, plan.leading_scores(target, base, prints_, k))]
+        assert rows[0] == rows[1], k
+
+
+def test_leading_scores_of_a_file_that_all_layers_hold(spark):
+    """Of 300 x 300 pairs that share a file, each target meets at most six."""
+    names = [f"{i:03d}" for i in range(300)]
+    target, base = (layers(spark, *[(x + n, i % 50) for i, n in enumerate(names)]) for x in "tc")
+    got = plan.leading_scores(target, base, prints(spark, **{x + n: {"license": 9} for x in "tc" for n in names}), 3)
+    assert 900 <= got.count() <= 1800
+    top = plan.pick_top_k(target, base, got, 3)
+    assert top.count() == 900 and top.where("score <> 9 or distance > 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_similarity_scores_against_all_pairs(spark, seed):
+    target, base, prints_, scores = shared_files(spark, seed, 60)
+    got = plan.similarity_scores(target, base, prints_).collect()
+    assert len(got) == len(scores) and {(r.pair, r.target_digest, r.candidate_digest): r.score for r in got} == scores
