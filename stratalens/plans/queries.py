@@ -101,7 +101,9 @@ def layer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SCORES} SELECT * FROM scores")
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.similarity_scores(A.shipped(spark, sf_dir), A.side(spark, sf_dir, "baseline"), A.fingerprints(spark, sf_dir))
+    every = A.written(A.layers(spark, sf_dir), "layers")
+    prints = A.written(A.shared_fingerprints(spark, sf_dir), "fingerprints")
+    return plan.similarity_scores(A.shipped(spark, sf_dir, every), A.side(spark, sf_dir, "baseline", every), prints)
 
 
 @query(f"{TOP} SELECT pair, target_digest, candidate_digest, score, distance, rank FROM top")
