@@ -72,10 +72,34 @@ def decode(reference: bytes | None, frame: bytes) -> bytes:
     return reader.decompressobj().decompress(frame)
 
 
-def _with_bytes(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    t = contents.select(F.col("digest").alias("target_digest"), F.col("content").alias("_target"))
-    c = contents.select(F.col("digest").alias("candidate_digest"), F.col("content").alias("_reference"))
-    return pairs.join(t, "target_digest").join(c, "candidate_digest")
+def packed(contents: DataFrame) -> DataFrame:
+    """(digest, packed) of (digest, content): contents compressed for the way, with their lengths, in one column so that both sides of a pair read one exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            found = batch.column("content").to_pylist()
+            out = [None if x is None else {"data": shrink(x), "bytes": len(x)} for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.struct([("data", pa.binary()), ("bytes", pa.int64())]))], names=["digest", "packed"])
+
+    return contents.select("digest", "content").mapInArrow(run, "digest string, packed struct<data: binary, bytes: long>")
+
+
+def _unpacked(column: pa.Array) -> list[bytes | None]:
+    import zstandard
+
+    grow = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else grow(x) for x in column.to_pylist()]
+
+
+def _with_bytes(pairs: DataFrame, contents: DataFrame, window: int) -> DataFrame:
+    """``pairs`` with packed contents and the target's window; ``contents`` as (digest, content) or :func:`packed`."""
+    held = contents if "packed" in contents.columns else packed(contents)
+    t = held.select(F.col("digest").alias("target_digest"), F.col("packed.data").alias("_target"), sizes.window_log(F.col("packed.bytes"), window).alias("_log"))
+    c = held.select(F.col("digest").alias("candidate_digest"), F.col("packed.data").alias("_reference"))
+    return pairs.join(c, "candidate_digest").join(t, "target_digest")  # so that a target's rows end side by side
 
 
 def trial_sizes(candidates: DataFrame, contents: DataFrame, level: int = sizes.DEFAULT_LEVEL, window: int = 0) -> DataFrame:
@@ -86,13 +110,16 @@ def trial_sizes(candidates: DataFrame, contents: DataFrame, level: int = sizes.D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target, reference, log = (batch.column(c).to_pylist() for c in ("_target", "_reference", "_log"))
+            target, reference, log = _unpacked(batch.column("_target")), _unpacked(batch.column("_reference")), batch.column("_log").to_pylist()
             cost = [len(encode(r, t, level, w)) for t, r, w in zip(target, reference, log, strict=True)]
-            whole = [len(encode(None, t, level, w)) for t, w in zip(target, log, strict=True)]
+            names = batch.column("target_digest").to_pylist()
+            once = {n: (t, w) for n, t, w in zip(names, target, log, strict=True)}
+            once = {n: len(encode(None, t, level, w)) for n, (t, w) in once.items()}
+            whole = [once[n] for n in names]
             kept = [batch.column(c) for c in ("pair", "target_digest", "candidate_digest", "rank")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(cost, pa.int64()), pa.array(whole, pa.int64())], names=["pair", "target_digest", "candidate_digest", "rank", "cost", "ceiling"])
 
-    full = _with_bytes(candidates, contents).withColumn("_log", sizes.window_log(F.octet_length("_target"), window))
+    full = _with_bytes(candidates, contents, window)
     return full.select("pair", "target_digest", "candidate_digest", "rank", "_target", "_reference", "_log").mapInArrow(run, "pair string, target_digest string, candidate_digest string, rank int, cost long, ceiling long")
 
 
@@ -101,11 +128,11 @@ def encode_patches(pairs: DataFrame, contents: DataFrame, level: int = sizes.DEF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target, reference, log = (batch.column(c).to_pylist() for c in ("_target", "_reference", "_log"))
+            target, reference, log = _unpacked(batch.column("_target")), _unpacked(batch.column("_reference")), batch.column("_log").to_pylist()
             patches = [encode(r, t, level, w) for t, r, w in zip(target, reference, log, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pair", "target_digest", "candidate_digest")), pa.array(patches, pa.binary())], names=["pair", "target_digest", "candidate_digest", "patch"])
 
-    full = _with_bytes(pairs, contents).select("pair", "target_digest", "candidate_digest", "_target", "_reference", sizes.window_log(F.octet_length("_target"), window).alias("_log"))
+    full = _with_bytes(pairs, contents, window).select("pair", "target_digest", "candidate_digest", "_target", "_reference", "_log")
     return full.mapInArrow(run, "pair string, target_digest string, candidate_digest string, patch binary").withColumn("patch_size", F.octet_length("patch").cast("long"))
 
 
@@ -117,13 +144,14 @@ def decode_patches(patches: DataFrame, contents: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for patch, reference in zip(batch.column("patch").to_pylist(), batch.column("_reference").to_pylist(), strict=True):
+            for patch, reference in zip(batch.column("patch").to_pylist(), _unpacked(batch.column("_reference")), strict=True):
                 try:
                     out.append(decode(reference, patch))
                 except zstandard.ZstdError:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pair", "target_digest", "candidate_digest", "patch_size")), pa.array(out, pa.binary())], names=["pair", "target_digest", "candidate_digest", "patch_size", "content"])
 
-    c = contents.select(F.col("digest").alias("candidate_digest"), F.col("content").alias("_reference"))
+    held = contents if "packed" in contents.columns else packed(contents)
+    c = held.select(F.col("digest").alias("candidate_digest"), F.col("packed.data").alias("_reference"))
     full = patches.join(c, "candidate_digest").select("pair", "target_digest", "candidate_digest", "patch", "patch_size", "_reference")
     return full.mapInArrow(run, "pair string, target_digest string, candidate_digest string, patch_size long, content binary")

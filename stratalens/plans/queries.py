@@ -141,23 +141,32 @@ def best_encoding_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.encodings(spark, sf_dir).select("pair", "layer_idx", "digest", "size", "encoding", "patch_from_digest", F.col("archive_size").alias("est_archive_size"))
 
 
+def contents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by digest, packed before copies meet."""
+    docs = A.table(spark, sf_dir, "documents").select(digests.digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("content"))
+    return codec.packed(docs).dropDuplicates(["digest"])
+
+
 @query()
 def best_encoding_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real patch sizes: every shipped layer against its candidates, by the codec."""
     every = A.written(A.layers(spark, sf_dir), "layers")
     ship = A.written(A.shipped(spark, sf_dir, every), "shipped")
-    bytes_of = A.table(spark, sf_dir, "documents").select(digests.digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("content")).dropDuplicates(["digest"])
+    bytes_of = contents_of(spark, sf_dir)
+    refs = plan.ship_refs(ship)
+    once = refs.where("ship_refs = 1").select(F.col("digest").alias("target_digest"))  # others are full whatever a trial gives
     tops = A.top_candidates(spark, sf_dir, every=every, ship=ship).select("pair", "target_digest", "candidate_digest", "target_size", "rank")
-    trials = codec.trial_sizes(tops, bytes_of)
-    best = plan.choose_best(ship, plan.ship_refs(ship), trials)
+    trials = codec.trial_sizes(A.written(tops.join(once, "target_digest", "left_semi"), "tops"), bytes_of)
+    best = plan.choose_best(ship, refs, trials)
     return best.select("pair", "layer_idx", "digest", "size", "encoding", "patch_from_digest", "archive_size")
 
 
 @query()
 def patch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each target with its first candidate: encoded, decoded, and compared by digest."""
-    bytes_of = A.table(spark, sf_dir, "documents").select(digests.digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("content")).dropDuplicates(["digest"])
+    bytes_of = contents_of(spark, sf_dir)
     tops = A.top_candidates(spark, sf_dir).where("rank = 1").select("pair", "target_digest", "candidate_digest", "target_size", "rank")
+    tops = A.written(tops, "tops")
     packed = codec.encode_patches(tops, bytes_of)
     rebuilt = codec.decode_patches(packed, bytes_of)
     return rebuilt.select("pair", "target_digest", "candidate_digest", "patch_size", digests.verified(F.col("content"), F.col("target_digest")).alias("verified"))

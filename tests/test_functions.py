@@ -93,3 +93,16 @@ def test_signatures(spark, tmp_path):
     assert not signing.verify(spark, digest, b"junk", public)
     with pytest.raises(UserError):
         signing.sign(spark, digest, "no key")
+
+
+def test_packed_contents_give_the_same_patches(spark):
+    """Contents packed for the way or not, with an empty one; both sides of a pair read one column."""
+    rows = [("a", b"one line\n" * 50), ("b", b"one line\n" * 49 + b"another"), ("c", b"")]
+    plain = spark.createDataFrame(rows, "digest string, content binary")
+    pairs = spark.createDataFrame([("p", t, c, 1) for t in "abc" for c in "abc"], "pair string, target_digest string, candidate_digest string, rank int")
+    packed = codec.packed(plain)
+    assert packed.columns == ["digest", "packed"]
+    got = [sorted(map(tuple, codec.trial_sizes(pairs, x).collect())) for x in (plain, packed)]
+    assert got[0] == got[1] and len(got[0]) == 9
+    back = codec.decode_patches(codec.encode_patches(pairs, packed), packed).collect()
+    assert len(back) == 9 and all(bytes(r.content) == dict(rows)[r.target_digest] for r in back)
