@@ -58,7 +58,7 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fingerprints of lines that two documents or more hold; no other line is shared by two layers.
+    """The fingerprints of lines that two documents or more hold, digests as in :func:`short`; no other line is shared by two layers.
 
     Lines are told apart by 8 bytes first, which keeps a few lines too many and loses
     none; neither texts nor lines are shuffled.
@@ -67,15 +67,25 @@ def shared_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("layer"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where("line <> ''").withColumn("key", F.xxhash64("line"))
     several = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     kept = lines.select("key", F.unhex("layer").alias("layer"), F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("file"), F.octet_length("line").cast("long").alias("size")).join(several, "key", "left_semi")
-    named = lambda c: F.concat(F.lit("sha256:"), F.lower(F.hex(c)))
-    return kept.groupBy("layer", "file").agg(F.max("size").alias("size")).select(named("layer").alias("layer_digest"), named("file").alias("file_digest"), "size")
+    return kept.groupBy("layer", "file").agg(F.max("size").alias("size")).select(F.col("layer").alias("layer_digest"), F.col("file").alias("file_digest"), "size")
+
+
+def short(df: DataFrame, *columns: str) -> DataFrame:
+    """Digests as their 32 bytes, which are in the same order; less than half as long in shuffles."""
+    return df.withColumns({c: F.unhex(F.substring(c, 8, 64)) for c in columns})
+
+
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """Digests of 32 bytes as text again."""
+    return df.withColumns({c: F.concat(F.lit("sha256:"), F.lower(F.hex(c))) for c in columns})
 
 
 def top_candidates(spark: SparkSession, sf_dir: str, k: int = 3, scored: bool = True, every: DataFrame | None = None, ship: DataFrame | None = None) -> DataFrame:
     every = written(layers(spark, sf_dir), "layers") if every is None else every
     ship, base = written(shipped(spark, sf_dir, every), "shipped") if ship is None else ship, side(spark, sf_dir, "baseline", every)
+    ship, base = short(ship, "digest"), short(base, "digest")
     scores = plan.leading_scores(ship, base, written(shared_fingerprints(spark, sf_dir), "fingerprints"), k) if scored else None
-    return plan.pick_top_k(ship, base, scores, k)
+    return named(plan.pick_top_k(ship, base, scores, k), "target_digest", "candidate_digest")
 
 
 def encodings(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:

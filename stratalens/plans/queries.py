@@ -102,7 +102,7 @@ def layer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SCORES} SELECT * FROM scores")
 def similarity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = A.written(A.layers(spark, sf_dir), "layers")
-    prints = A.written(A.shared_fingerprints(spark, sf_dir), "fingerprints")
+    prints = A.named(A.written(A.shared_fingerprints(spark, sf_dir), "fingerprints"), "layer_digest", "file_digest")
     return plan.similarity_scores(A.shipped(spark, sf_dir, every), A.side(spark, sf_dir, "baseline", every), prints)
 
 
