@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_id
 
+#: Counters that a recount keeps at hand at a time, so that they stay in a core's cache.
+AT_HAND = 1 << 17
+#: Windows that grow by one in so many of all places or more are counted anew, which then costs less than counting what entered.
+ANEW = 24
 FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -48,7 +52,7 @@ class Projections:
         square = np.einsum("ij,ij->i", vectors, vectors)
         rest = np.sqrt(np.maximum(radius * radius - square, 0.0))
         placed = ((vectors @ self.directions[:d] + rest[:, None] * self.directions[d]) / radius).T.astype(np.float32)
-        self.order = np.argsort(placed, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(placed, axis=1).astype(np.int32)  # windows hold all equal numbers or none, so their order is free
         self.sorted = np.take_along_axis(placed, self.order, axis=1)
         self.ranks = np.empty(self.order.shape, dtype=np.uint16 if n < 1 << 16 else np.uint32)  # of each place, in each sorted array
         np.put_along_axis(self.ranks, self.order.astype(np.int64), np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
@@ -60,11 +64,15 @@ class Projections:
         """Collisions of every place in the windows low..high (projections x queries) into ``counts`` (queries x places)."""
         kind = self.ranks.dtype.type
         counts[:] = 0
-        off, hit = np.empty(counts.shape, dtype=kind), np.empty(counts.shape, dtype=bool)
-        for rank, a, b in zip(self.ranks, low.astype(kind), (high - low).astype(np.int64), strict=True):
-            np.subtract(rank[None, :], a[:, None], out=off)  # wraps round below the window
-            np.less(off, np.minimum(b, np.iinfo(kind).max).astype(kind)[:, None], out=hit)
-            np.add(counts, hit.view(np.uint8), out=counts)
+        low, wide = low.astype(kind), np.minimum(high - low, np.iinfo(kind).max).astype(kind)
+        step = max(1, AT_HAND // self.n)
+        for at in range(0, len(counts), step):
+            part = counts[at : at + step]
+            off, hit = np.empty(part.shape, dtype=kind), np.empty(part.shape, dtype=bool)
+            for rank, a, b in zip(self.ranks, low[:, at : at + step, None], wide[:, at : at + step, None], strict=True):
+                np.subtract(rank[None, :], a, out=off)  # wraps round below the window
+                np.less(off, b, out=hit)
+                np.add(part, hit.view(np.uint8), out=part)
 
     def entered(self, counts: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Add the collisions of one query's windows grown from ``old`` to ``new`` (rows low, high); the places that entered any."""
@@ -80,6 +88,14 @@ class Projections:
         counts[places] += times.astype(counts.dtype)
         return places
 
+    def widened(self, asked: np.ndarray, live: np.ndarray, reach: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows low..high (projections x queries) with those of the queries ``live`` widened to ``reach``."""
+        low, high, wide = low.copy(), high.copy(), reach[live].astype(np.float32)
+        for s, a, at, to in zip(self.sorted, asked[:, live], low, high, strict=True):
+            at[live] = np.minimum(at[live], np.searchsorted(s, a - wide))
+            to[live] = np.maximum(to[live], np.searchsorted(s, a + wide, "right"))
+        return low, high
+
     def search(self, queries: np.ndarray, norms: np.ndarray, own: np.ndarray, bests: list[Best], width: float, grow: float, ahead: int) -> None:
         """Add to ``bests`` the places nearest to each query; ``own`` is the query's place or -1.
 
@@ -92,6 +108,7 @@ class Projections:
         for a chance of ``miss``. A query ends at that width, or when all its windows
         hold everything. Only places that enter a window are counted; where they are
         a large part of all, ranks are compared with the windows, which counts the same.
+        As that costs the same at any width, such windows go to the last width at once.
         """
         limit = np.array([self.factor * best.distance(n, self.radius) for best, n in zip(bests, norms.tolist(), strict=True)])
         live = np.flatnonzero(limit >= 0)
@@ -102,22 +119,22 @@ class Projections:
         low = high = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, asked, strict=True)])
         while len(live):
             reach = np.minimum(width, limit)
-            wide = reach[live].astype(np.float32)
             before = low, high
-            low, high = low.copy(), high.copy()
-            for s, a, at, to in zip(self.sorted, asked[:, live], low, high, strict=True):
-                at[live] = np.minimum(at[live], np.searchsorted(s, a - wide))
-                to[live] = np.maximum(to[live], np.searchsorted(s, a + wide, "right"))
+            low, high = self.widened(asked, live, reach, low, high)
             sizes = (high - low).sum(axis=0) - (before[1] - before[0]).sum(axis=0)
-            many = live[sizes[live] * 8 >= self.n * self.count]
+            anew = sizes * ANEW >= self.n * self.count
+            many = live[anew[live]]
             if len(many):
+                known = many[np.isfinite(limit[many])]
+                reach[known] = limit[known]
+                low, high = self.widened(asked, known, reach, low, high)
                 counted = np.empty((len(many), self.n), dtype=self.counter)
                 self.recount(counted, low[:, many], high[:, many])
                 counts[many] = counted
             stay = []
             for i in live.tolist():
                 full = int((high[:, i] - low[:, i]).min()) >= self.n
-                if sizes[i] * 8 >= self.n * self.count:
+                if anew[i]:
                     new = np.flatnonzero(~verified[i])
                 else:
                     new = self.entered(counts[i], np.stack([before[0][:, i], before[1][:, i]]), np.stack([low[:, i], high[:, i]]))
@@ -178,7 +195,7 @@ def norm_ranges(norms: np.ndarray, ratio: float = 0.5) -> list[np.ndarray]:
 
 
 def search_block(
-    rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, top: int, projections: int, threshold: float, miss: float, width: float, grow: float, ahead: int, seed: int, cells: int = 1 << 19
+    rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, top: int, projections: int, threshold: float, miss: float, width: float, grow: float, ahead: int, seed: int, cells: int = 1 << 21
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the best ``top`` of a block: (query place, places, scores). ``rows`` ascend.
 

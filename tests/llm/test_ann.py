@@ -57,6 +57,31 @@ def test_clustered_vectors_need_few_products():
     assert sum(seen) < 0.1 * 50 * 4000
 
 
+def test_isolated_vectors_are_counted_twice():
+    """Once to learn how near neighbours are, once at the last width; all neighbours that count are among those."""
+    x, ids = vectors("unit", 4000, 64), np.arange(4000)
+    counted = []
+    recount, entered = ann.Projections.recount, ann.Projections.entered
+    try:
+        ann.Projections.recount = lambda self, counts, low, high: (counted.append(len(counts)), recount(self, counts, low, high))[1]
+        ann.Projections.entered = lambda self, *a: (counted.append(1), entered(self, *a))[1]
+        list(ann.search_block(ids, ids, x, ids[:50], x[:50], 20, **OPTIONS))
+    finally:
+        ann.Projections.recount, ann.Projections.entered = recount, entered
+    assert sum(counted) <= 2 * 50
+
+
+def test_recount_in_parts_counts_the_same(monkeypatch):
+    x = np.random.default_rng(0).standard_normal((300, 8))
+    p = ann.Projections(x, float(np.sqrt((x * x).sum(1).max())), 10, 6, 0.03, 1)
+    low, high = np.tile(np.arange(7) * 20, (10, 1)), np.tile(np.arange(7) * 20 + 90, (10, 1))
+    whole, parts = np.empty((7, 300), np.uint8), np.empty((7, 300), np.uint8)
+    p.recount(whole, low, high)
+    monkeypatch.setattr(ann, "AT_HAND", 600)  # two queries at a time
+    p.recount(parts, low, high)
+    assert (whole == parts).all() and whole.sum() == 7 * 10 * 90
+
+
 def test_copies_rank_by_id():
     x, ids = np.repeat(vectors("unit", 300, 64), 10, 0), np.arange(3000)[::-1].copy()
     for i, at, scores in ann.search_block(np.arange(3000), ids, x, np.arange(0, 3000, 60), x[::60], 20, **OPTIONS):
