@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,20 @@ class Classes:
         return 1 + self.own + self.rest
 
 
+class Endings(dict[bytes, int]):
+    """Shared classes by the last letters of words, worked out once for each ending; it starts anew when it holds ``most``."""
+
+    def __init__(self, classes: Classes, most: int = 100_000) -> None:
+        super().__init__()
+        self.classes, self.most = classes, most
+
+    def __missing__(self, ending: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[ending] = self.classes.rest_class(ending)
+        return found
+
+
 def make_classes(counts: DataFrame, ends: int, own: int, rest: int, known: int, longest: int = 64) -> Classes:
     """Classes from the corpus counts. The driver gets ``known`` words of at most ``longest`` bytes and ``rest`` sums.
 
@@ -120,6 +135,7 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cl = shared.value
         get = cl.known.get
+        shared_class = Endings(cl).__getitem__
         class_of = np.r_[np.arange(1, cl.own + 1), np.fromiter((cl.rest_class(w) for w in list(cl.known)[cl.own :]), np.int64, len(cl.known) - cl.own)].astype(np.uint16)
         log_count = np.log10(cl.counts + ADD)
         log_mass = np.log10(cl.mass)
@@ -134,7 +150,7 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
             rare = np.flatnonzero(at < 0)
             rare_words = [flat[i] for i in rare.tolist()]
             if len(rare):
-                codes[rare] = np.fromiter(map(cl.rest_class, rare_words), np.int64, len(rare))
+                codes[rare] = np.fromiter(map(shared_class, map(itemgetter(slice(-3, None)), rare_words)), np.int64, len(rare))
             seen = at >= 0
             logs = np.zeros(len(flat))
             logs[seen] = log_count[at[seen]]
@@ -263,28 +279,27 @@ def log10_likelihood(hmm: Hmm, codes: list[bytes]) -> np.ndarray:
     lengths = np.array([len(s) for s in seqs])
     order = np.argsort(-lengths, kind="stable")
     n = lengths[order]
-    flat = np.concatenate(seqs).astype(np.int64)
+    flat = np.concatenate(seqs)
     begin = (np.cumsum(lengths) - lengths)[order]
-    by_class = np.ascontiguousarray(hmm.emit.T)
-    live = np.searchsorted(-n, -np.arange(n[0]), side="left")
+    emit, back = np.ascontiguousarray(hmm.emit), np.ascontiguousarray(hmm.move.T)  # states x texts, so that every step runs along the texts
+    live = [*np.searchsorted(-n, -np.arange(n[0]), side="left").tolist(), 0]
     total = np.zeros(len(seqs))
     product = np.ones(len(seqs))
-    now = None
+    now = hmm.start[:, None]
     for t in range(int(n[0])):
         m = live[t]
-        e = by_class[flat[begin[:m] + t]]
-        now = hmm.start * e if now is None else (now[:m] @ hmm.move) * e
-        scale = now.sum(axis=1)
-        now /= scale[:, None]
+        e = emit.take(flat[begin[:m] + t], axis=1, mode="clip")
+        now = now * e if t == 0 else np.multiply(back @ now[:, :m], e, out=e)
+        scale = now.sum(axis=0)
+        now /= scale
         product[:m] *= scale
         if t % 16 == 15:  # logarithms of sixteen scales at a time
             total[:m] += np.log10(product[:m])
             product[:m] = 1.0
-        if t + 1 < len(live) and live[t + 1] < m:
+        if live[t + 1] < m:
             done = slice(live[t + 1], m)
             total[done] += np.log10(product[done])
             product[done] = 1.0
-    total += np.log10(product)
     out = np.empty(len(seqs))
     out[order] = total
     return out
@@ -311,7 +326,7 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: f
 
         def run(batches: Iterator[pa.RecordBatch], now: Hmm = now) -> Iterator[pa.RecordBatch]:
             sums = [np.zeros(s) for s in shapes]
-            for batch in slices(batches, "codes", 2 << 20):
+            for batch in slices(batches, "codes", 1 << 20):  # larger ones leave a core's cache
                 cut = stretches(batch.column("codes").to_pylist())
                 for at in range(0, len(cut[0]), AT_ONCE):
                     for total, more in zip(sums, expected(now, *(x[at : at + AT_ONCE] for x in cut)), strict=True):
@@ -370,7 +385,7 @@ def score(
     hmm = train(coded.where(~F.col("held_out")).select("row", "codes"), classes, states, first_rounds + rounds, prior, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "codes", 2 << 20):
+        for batch in slices(batches, "codes", 8 << 20):  # of many texts, as a step costs nearly the same for few
             got = pa.array(log10_likelihood(hmm, batch.column("codes").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "held_out", "n_tokens", "known_sum", "rest_sum", "n_known")), got], names=["row", "id", "held_out", "n_tokens", "known_sum", "rest_sum", "n_known", "path"])
 

@@ -168,3 +168,23 @@ def test_score_of_the_table_by_brute_force(spark, smallest, monkeypatch):
                 a = np.logaddexp.reduce(a[:, None] + np.log(h.move), axis=0) + np.log(h.emit[:, c])
         want = np.logaddexp.reduce(a) / np.log(10) + sum(math.log10((counts.get(w, 0) + 0.1) / mass[c]) for w, c in zip(ws, x) if w not in names)
         assert abs(got[i] - want) < 1e-7 * max(1, abs(want)), i
+
+
+def test_classes_of_endings_are_worked_out_once(monkeypatch):
+    """As rest_class has them, whatever the words and however few endings are held."""
+    classes = hmm_lm.Classes({}, np.zeros(0), 5, 7, 1, np.ones(13))
+    words = [f"{i}-{i % 30:03d}".encode() for i in range(3000)] + [b"a", b"ab", "\u00e9".encode()]
+    want, calls = [classes.rest_class(w) for w in words], []
+    real = hmm_lm.Classes.rest_class
+    monkeypatch.setattr(hmm_lm.Classes, "rest_class", lambda self, w: (calls.append(w), real(self, w))[1])
+    endings, few = hmm_lm.Endings(classes), hmm_lm.Endings(classes, 4)
+    assert [endings[w[-3:]] for w in words] == want and len(calls) == 33
+    assert [few[w[-3:]] for w in words] == want and len(few) <= 4
+
+
+def test_scores_of_texts_of_uneven_lengths_do_not_depend_on_each_other():
+    rng = np.random.default_rng(1)
+    h = hmm_lm.Hmm(np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.4, 0.6]]), np.array([[0.2, 0.5, 0.3], [0.6, 0.1, 0.3]]))
+    codes = [rng.integers(0, 3, n).astype("<u2").tobytes() for n in (1, 40, 3, 16, 17, 1, 200)]
+    alone = [hmm_lm.log10_likelihood(h, [c])[0] for c in codes]
+    assert np.allclose(hmm_lm.log10_likelihood(h, codes), alone, rtol=1e-12)
