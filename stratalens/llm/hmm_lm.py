@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +23,10 @@ STRETCH, LEAD = 256, 24
 AT_ONCE = 8192
 #: Steps between two scalings of the messages of expected counts; in four steps these stay within single precision.
 SCALED = 4
+#: Tokens whose posteriors are added up by class at a time, or one step's if these are more.
+COUNTED = 16_384
+#: Expected counts that go from task to task in one binary value.
+PIECE = 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -31,20 +34,37 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
-    """(word, c) over all texts of ``docs``; a task holds ``held`` different words and sends them on when there are more."""
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The :func:`tokens` of all texts in one flat binary array, and how many each text has, without an object for each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.not_equal(words, "")
+    empty = np.flatnonzero(~full.to_numpy(zero_copy_only=False))  # at the ends of texts
+    if len(empty):
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, side="right"), minlength=len(sizes))
+        words = words.filter(full)
+    return words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()), sizes
+
+
+def word_counts(docs: DataFrame, held: int = 48 << 20) -> DataFrame:
+    """(word, c) over all texts of ``docs``; a task counts words of about ``held`` bytes, sends the counts on, and starts anew."""
+
+    def counted(words: list[pa.Array]) -> pa.RecordBatch:
+        found = pa.chunked_array(words).value_counts()
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        words: list[pa.Array] = []
+        size = 0
         for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > held:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-                counts = Counter()
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        del counts
+            words.append(split_words(batch.column("text"))[0])
+            size += words[-1].nbytes
+            if size > held:
+                yield counted(words)
+                words, size = [], 0
+        if size:
+            yield counted(words)
+        del words
         give_back()
 
     return small_batches(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -134,37 +154,41 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cl = shared.value
-        get = cl.known.get
-        shared_class = Endings(cl).__getitem__
-        class_of = np.r_[np.arange(1, cl.own + 1), np.fromiter((cl.rest_class(w) for w in list(cl.known)[cl.own :]), np.int64, len(cl.known) - cl.own)].astype(np.uint16)
+        known, shared_class = pa.array(cl.known, pa.binary()), Endings(cl).__getitem__
+
+        def shared_classes(words: pa.Array) -> np.ndarray:
+            ending = pc.binary_slice(words, -3).dictionary_encode()
+            return np.fromiter(map(shared_class, ending.dictionary.to_pylist()), np.uint16, len(ending.dictionary))[ending.indices.to_numpy()]
+
+        class_of = np.r_[np.arange(1, cl.own + 1).astype(np.uint16), shared_classes(known[cl.own :])]
         log_count = np.log10(cl.counts + ADD)
         log_mass = np.log10(cl.mass)
         is_rest = np.arange(cl.number()) > cl.own
         end_log = float(np.log10(cl.ends + ADD))
         for batch in slices(batches, "text"):
-            words = [tokens(t) for t in batch.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            flat = [w for ws in words for w in ws]
-            at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-            codes = class_of[at] if len(class_of) else np.zeros(len(flat), np.uint16)
-            rare = np.flatnonzero(at < 0)
-            rare_words = [flat[i] for i in rare.tolist()]
-            if len(rare):
-                codes[rare] = np.fromiter(map(shared_class, map(itemgetter(slice(-3, None)), rare_words)), np.int64, len(rare))
-            seen = at >= 0
-            logs = np.zeros(len(flat))
-            logs[seen] = log_count[at[seen]]
-            owner = np.repeat(np.arange(len(words)), sizes)
-            total = lambda values: np.bincount(owner, weights=values, minlength=len(words)).astype(float)
+            words, sizes = split_words(batch.column("text"))
+            texts = len(sizes)
+            coded = words.dictionary_encode()  # each different word is looked up once
+            which, different = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary())
+            at = pc.fill_null(pc.index_in(different, value_set=known), -1).to_numpy()
+            own_code = class_of[at] if len(class_of) else np.zeros(len(at), np.uint16)
+            own_code[at < 0] = shared_classes(different.filter(pa.array(at < 0)))
+            own_log = np.zeros(len(at))
+            own_log[at >= 0] = log_count[at[at >= 0]]
+            codes, logs, seen = own_code[which], own_log[which], (at >= 0)[which]
+            rare = np.flatnonzero(~seen)
+            rare_words = words.take(pa.array(rare)).cast(pa.binary())
+            owner = np.repeat(np.arange(texts), sizes)
+            total = lambda values: np.bincount(owner, weights=values, minlength=texts).astype(float)
             known_sum = total(logs) + end_log
             in_rest = is_rest[codes]
             rest_sum = total(np.where(in_rest, logs - log_mass[codes], 0.0))
             bounds = np.cumsum(sizes)
             whole = np.insert(codes, bounds, 0).astype("<u2").tobytes()  # an end after each text
             stops = np.r_[0, 2 * np.cumsum(sizes + 1)]
-            packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(whole)])
-            each = np.bincount(owner[rare], minlength=len(words)) if len(rare) else np.zeros(len(words), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), pa.array(rare_words, pa.binary()))
+            packed = pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(stops.astype(np.int32).tobytes()), pa.py_buffer(whole)])
+            each = np.bincount(owner[rare], minlength=texts)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)], pa.int32()), rare_words)
             arrays = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(sizes + 1), packed, pa.array(known_sum), pa.array(rest_sum), pa.array(total(seen).astype(np.int64) + (1 if cl.ends else 0)), lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "held_out", "n_tokens", "codes", "known_sum", "rest_sum", "n_known", "rare"])
 
@@ -180,88 +204,109 @@ class Hmm:
     emit: np.ndarray
 
 
-def stretches(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences cut into rows of classes; of each row its length, and where its own stretch begins and ends.
+def stretches(codes: list[bytes], times: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """Sequences, which occur ``times`` times each, cut into stretches of classes.
 
-    A row has LEAD classes more on each side, as far as the text goes, so that the
-    messages that reach its own stretch have forgotten where they began.
+    All classes one after the other; of each stretch where it begins in them, its
+    length, where in it its own part begins and ends, and how often it occurs. A stretch
+    has LEAD classes more on each side, as far as the text goes, so that the messages
+    that reach its own part have forgotten where they began.
     """
-    seqs = [np.frombuffer(c, dtype="<u2") for c in codes]
-    sizes = np.array([len(x) for x in seqs])
-    flat = np.concatenate(seqs)
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
     number = -(-sizes // STRETCH)
     own = STRETCH * (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
     size = np.repeat(sizes, number)
     begin, end = np.maximum(own - LEAD, 0), np.minimum(own + STRETCH + LEAD, size)
     at = np.repeat(np.cumsum(sizes) - sizes, number) + begin
-    lengths = end - begin
-    rows = flat[np.minimum(at[:, None] + np.arange(lengths.max()), len(flat) - 1)]
-    return rows, lengths, own - begin, np.minimum(own + STRETCH, size) - begin
+    return np.frombuffer(b"".join(codes), dtype="<u2"), at, end - begin, own - begin, np.minimum(own + STRETCH, size) - begin, np.repeat(np.asarray(times or [1] * len(codes), np.float32), number)
+
+
+class Room(dict[str, np.ndarray]):
+    """Arrays by name that are used again for every slice: new ones cost page faults each time."""
 
+    def take(self, name: str, size: int, dtype: type = np.float32) -> np.ndarray:
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size + size // 4, dtype)
+        return self[name][:size]
 
-def expected(hmm: Hmm, rows: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def expected(
+    hmm: Hmm, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray, room: Room | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, transitions and emissions of stretches, by scaled forward-backward.
 
-    What lies in ``low`` .. ``high`` of a row is counted, so each token and each
-    transition of a text counts once, and starts where a text starts. Texts of one
+    What lies in ``low`` .. ``high`` of a stretch is counted ``times`` times, so each
+    token and each transition of a text counts once, and starts where a text starts. Texts of one
     stretch have exact counts. Later stretches begin from the chain's stationary
     distribution, and all but the last end without knowing what follows, LEAD tokens
     away. Arrays are states x stretches, so that every step runs along the stretches.
 
     Emissions are taken relative to the largest of each class, which leaves all
     expectations as they are and messages near 1; these are scaled at every
-    ``SCALED``-th step and where a stretch ends.
+    ``SCALED``-th step. Those backwards begin as ``times`` over the sum of those
+    forwards, so that posteriors add up to ``times``. Posteriors are added up by class
+    whenever some ``COUNTED`` tokens have theirs, while these are in a core's cache.
     """
+    room = Room() if room is None else room
     k, c = hmm.emit.shape
     order = np.argsort(-lengths, kind="stable")
-    rows, lengths, low, high = np.ascontiguousarray(rows[order].T), lengths[order], low[order], high[order]
+    at, lengths, low, high, times = at[order], lengths[order], low[order], high[order], times[order]
     steps = int(lengths[0])
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    begin = np.r_[0, np.cumsum(live)].tolist()
+    live = [*live.tolist(), 0]
     emit = np.ascontiguousarray(hmm.emit / np.maximum(hmm.emit.max(axis=0), 1e-300), dtype=np.float32)
     move = hmm.move.astype(np.float32)
     back = np.ascontiguousarray(move.T)
     heads = low == 0
-    first = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
-    begin = np.r_[0, np.cumsum(live)].tolist()
-    live = [*live.tolist(), 0]
-    where = np.concatenate([rows[t, : live[t]] for t in range(steps)]).astype(np.intp)
-    held = np.empty((k, len(where)), dtype=np.float32)
-    seen, scales = [], []
-    now = first
+    now = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
+    where, held = room.take("where", begin[-1], np.intp), room.take("held", k * begin[-1])
+    emitted, moved = room.take("emitted", k * live[0]), room.take("moved", k * live[0])
+    scales = {}
     for t in range(steps):
-        e = emit.take(where[begin[t] : begin[t + 1]], axis=1, mode="clip")
-        now = first * e if t == 0 else back @ now[:, : live[t]]
+        m, here = live[t], slice(begin[t], begin[t + 1])
+        where[here] = flat[t:].take(at[:m], mode="clip")
+        e = emit.take(where[here], axis=1, mode="clip", out=emitted[: k * m].reshape(k, m))
         if t:
-            now *= e
-        since = 0 if t % SCALED == SCALED - 1 else live[t + 1]  # stretches from here on are scaled
-        scale = 1 / now[:, since:].sum(axis=0)
-        now[:, since:] *= scale
-        held[:, begin[t] : begin[t + 1]] = now
-        seen.append(e)
-        scales.append((since, scale))
+            now = np.matmul(back, now[:, :m], out=moved[: k * m].reshape(k, m))
+        now = np.multiply(now, e, out=held[k * here.start : k * here.stop].reshape(k, m))
+        if t % SCALED == SCALED - 1:
+            scales[t] = 1 / now.sum(axis=0)
+            now *= scales[t]
+        if live[t + 1] < m:
+            times[live[t + 1] : m] /= now[:, live[t + 1] :].sum(axis=0)
     pairs = np.zeros((k, k), dtype=np.float64)
     emits = np.zeros((k, c))
-    beta = np.ones((k, live[steps - 1]), dtype=np.float32)
+    most = max(COUNTED, live[0])
+    posterior = room.take("posterior", k * most).reshape(k, most)  # filled from the right, by tokens first .. last
+    first = last = begin[-1]
+
+    def count() -> None:
+        for j in range(k):
+            emits[j] += np.bincount(where[first:last], weights=posterior[j, most - (last - first) :], minlength=c)
+
     for t in range(steps - 1, -1, -1):
-        alpha = held[:, begin[t] : begin[t + 1]]
+        m, after, here = live[t], live[t + 1], slice(begin[t], begin[t + 1])
+        alpha = held[k * here.start : k * here.stop].reshape(k, m)
         if t < LEAD or t >= STRETCH:  # elsewhere all is the stretch's own
-            alpha *= ((low[: live[t]] <= t) & (t < high[: live[t]])).astype(np.float32)
-        if t < steps - 1:
-            ahead = seen[t + 1]
+            alpha *= ((low[:m] <= t) & (t < high[:m])).astype(np.float32)
+        if after:
+            ahead = emit.take(where[begin[t + 1] : begin[t + 2]], axis=1, mode="clip", out=emitted[: k * after].reshape(k, after))
             ahead *= beta
-            since, scale = scales[t + 1]
-            ahead[:, since:] *= scale
-            pairs += (alpha[:, : live[t + 1]] @ ahead.T) * move
-            if live[t] == live[t + 1]:
-                beta = move @ ahead
-            else:
-                beta = np.ones((k, live[t]), dtype=np.float32)
-                beta[:, : live[t + 1]] = move @ ahead
-        alpha *= beta  # its forward part is used up
-    starts = held[:, : live[0]][:, heads].sum(axis=1, dtype=np.float64)
-    for j in range(k):
-        emits[j] = np.bincount(where, weights=held[j], minlength=c)
-    return starts, pairs, emits
+            if t + 1 in scales:
+                ahead *= scales[t + 1]
+            pairs += alpha[:, :after] @ ahead.T
+        beta = moved[: k * m].reshape(k, m)
+        if after:
+            np.matmul(move, ahead, out=beta[:, :after])
+        beta[:, after:] = times[after:m]
+        if last - here.start > most:
+            count()
+            last = first
+        first = here.start
+        done = np.multiply(alpha, beta, out=posterior[:, most - (last - first) :][:, :m])
+    count()
+    return done[:, heads].sum(axis=1, dtype=np.float64), pairs * move, emits
 
 
 def maximise(starts: np.ndarray, pairs: np.ndarray, emits: np.ndarray, unigram: np.ndarray, prior: float) -> Hmm:
@@ -305,11 +350,24 @@ def log10_likelihood(hmm: Hmm, codes: list[bytes]) -> np.ndarray:
     return out
 
 
+def pieces(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(at, sums): each ``PIECE`` numbers in bytes, and where they begin."""
+    for at in range(0, len(flat), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([flat[at : at + PIECE].astype("<f8").tobytes()], pa.binary())], names=["at", "sums"])
+
+
+def added(parts: pa.Table) -> pa.Table:
+    """The pieces of one place, of all tasks, added up."""
+    total = sum(np.frombuffer(x.as_buffer(), "<f8") for x in parts.column("sums"))
+    return pa.table({"at": parts.column("at")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: float, seed: int) -> Hmm:
     """Baum-Welch over all coded training texts, ``rounds`` times, from random emissions. A class is a 16-bit number.
 
     Each round adds up expected counts in every partition, sums them in Spark, and
-    gives the driver states x classes sums.
+    gives the driver states x classes sums. Texts of the same classes are worked on once
+    and count as often as they occur.
     """
     if classes.number() > 1 << 16:
         raise ValueError(f"{classes.number()} classes: own and rest together must stay below 65536")
@@ -321,23 +379,26 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: f
     if not classes.ends:
         return hmm
     shapes = ((states,), (states, states), (states, c))
+    # in a fixed order, since single precision depends on which texts stand together
+    texts = materialize(coded.groupBy("codes").agg(F.count("*").alias("times")).sortWithinPartitions("codes"), "lm-texts")
     for _ in range(rounds):
         now = hmm
 
         def run(batches: Iterator[pa.RecordBatch], now: Hmm = now) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(s) for s in shapes]
+            sums, room = [np.zeros(s) for s in shapes], Room()
             for batch in slices(batches, "codes", 1 << 20):  # larger ones leave a core's cache
-                cut = stretches(batch.column("codes").to_pylist())
+                flat, *cut = stretches(batch.column("codes").to_pylist(), batch.column("times").to_pylist())
                 for at in range(0, len(cut[0]), AT_ONCE):
-                    for total, more in zip(sums, expected(now, *(x[at : at + AT_ONCE] for x in cut)), strict=True):
+                    for total, more in zip(sums, expected(now, flat, *(x[at : at + AT_ONCE] for x in cut), room), strict=True):
                         total += more
             flat = np.concatenate([s.ravel() for s in sums])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "value"])
+            yield from pieces(flat)
 
-        parts = few_files(coded.select("codes"), 2).mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        parts = few_files(texts, 2).mapInArrow(run, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").toArrow()
         flat = np.zeros(sum(int(np.prod(s)) for s in shapes))
-        flat[parts["at"].to_numpy()] = parts["value"].to_numpy()
+        for at, sums in zip(parts.column("at").to_pylist(), parts.column("sums").to_pylist(), strict=True):
+            more = np.frombuffer(sums, "<f8")
+            flat[at : at + len(more)] = more
         cut = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         hmm = maximise(*(x.reshape(s) for x, s in zip(np.split(flat, cut), shapes, strict=True)), unigram, prior)
     return hmm

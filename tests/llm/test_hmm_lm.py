@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalens.llm import hmm_lm, queries
@@ -188,3 +189,67 @@ def test_scores_of_texts_of_uneven_lengths_do_not_depend_on_each_other():
     codes = [rng.integers(0, 3, n).astype("<u2").tobytes() for n in (1, 40, 3, 16, 17, 1, 200)]
     alone = [hmm_lm.log10_likelihood(h, [c])[0] for c in codes]
     assert np.allclose(hmm_lm.log10_likelihood(h, codes), alone, rtol=1e-12)
+
+
+def test_words_of_many_texts_at_once():
+    """As tokens has them: white space and capitals of ASCII alone, empty and null texts, blanks at the ends."""
+    texts = ["", None, "  ", " A b\x0bc\x0cd\te\nf\rg ", "x\x1cy\x1fz \x85q\xa0R s t　u", "ÉA İ", "a\x00b  c", "\n", "END"]
+    for kind in (pa.string(), pa.large_string()):
+        for some in (texts, texts[:3], ["a b"], []):
+            words, sizes = hmm_lm.split_words(pa.array(some, kind))
+            want = [hmm_lm.tokens(t) for t in some]
+            assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_counts_sent_on_in_parts_add_up(spark, held):
+    rows = [(" ".join(f"w{i % n}" for n in (2, 7, 50)),) for i in range(200)] + [(None,), ("",), (" ",)]
+    got = {bytes(r.word): r.c for r in hmm_lm.word_counts(spark.createDataFrame(rows, "text string"), held).collect()}
+    assert got == Counter(w for (t,) in rows for w in hmm_lm.tokens(t))
+
+
+def test_copies_count_as_often_as_they_occur():
+    """Expected counts of sequences with numbers against those of the copies written out."""
+    rng = np.random.default_rng(4)
+    h, times = small(3, 12), [1, 40, 3, 7, 2]
+    codes = [rng.integers(0, 12, n).astype("<u2").tobytes() for n in (1, 2, 255, 700, 5)]
+    got = hmm_lm.expected(h, *hmm_lm.stretches(codes, times))
+    want = hmm_lm.expected(h, *hmm_lm.stretches([c for c, n in zip(codes, times, strict=True) for _ in range(n)]))
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-4)
+    assert np.isclose(got[0].sum(), 53)
+
+
+def test_posteriors_counted_in_parts(monkeypatch):
+    """However many are counted at a time, and in arrays that earlier slices used."""
+    rng = np.random.default_rng(5)
+    h, room = small(3, 12), hmm_lm.Room()
+    codes = [rng.integers(0, 12, n).astype("<u2").tobytes() for n in (400, 3, 60, 1, 60)]
+    hmm_lm.expected(h, *hmm_lm.stretches(codes * 3), room)
+    want = hmm_lm.expected(h, *hmm_lm.stretches(codes))
+    monkeypatch.setattr(hmm_lm, "COUNTED", 1)
+    for a, b in zip(hmm_lm.expected(h, *hmm_lm.stretches(codes), room), want, strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+
+
+def test_training_works_on_copies_once(spark, monkeypatch):
+    """The model of a corpus with copies is that of all its texts in one piece, from a table of the different ones."""
+    rows = [(i, ("a b c " * 5, "b d", "", f"c a {i % 3}")[i % 4]) for i in range(120)]
+    held, tables, real, written = [], {}, hmm_lm.train, hmm_lm.materialize
+
+    def kept(coded, classes, *rest):
+        held.append((coded, classes, real(coded, classes, *rest)))
+        return held[-1][2]
+
+    monkeypatch.setattr(hmm_lm, "train", kept)
+    monkeypatch.setattr(hmm_lm, "materialize", lambda df, tag, **how: tables.setdefault(tag, written(df, tag, **how)))
+    hmm_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=0, first_rounds=3)
+    [(coded, classes, got)] = held
+    codes = [bytes(r.codes) for r in coded.collect()]
+    assert tables["lm-texts"].count() == len(set(codes)) < len(codes) == tables["lm-texts"].groupBy().sum("times").first()[0]
+    unigram = classes.mass / classes.mass.sum()
+    emit = unigram * np.random.default_rng(5).gamma(2.0, 0.5, size=(3, classes.number()))
+    want = hmm_lm.Hmm(np.full(3, 1 / 3), np.full((3, 3), 0.1 / 3) + 0.9 * np.eye(3), emit / emit.sum(axis=1, keepdims=True))
+    for _ in range(3):
+        want = hmm_lm.maximise(*hmm_lm.expected(want, *hmm_lm.stretches(codes)), unigram, 20.0)
+    assert np.allclose(got.emit, want.emit, rtol=1e-3, atol=1e-7) and np.allclose(got.move, want.move, rtol=1e-3, atol=1e-7)
