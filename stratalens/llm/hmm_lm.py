@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -23,6 +23,8 @@ STRETCH, LEAD = 256, 24
 AT_ONCE = 8192
 #: Steps between two scalings of the messages of expected counts; in four steps these stay within single precision.
 SCALED = 4
+#: Steps between two scalings of the forward recursion of scores, in double precision.
+APART = 8
 #: Tokens whose posteriors are added up by class at a time, or one step's if these are more.
 COUNTED = 16_384
 #: Expected counts that go from task to task in one binary value.
@@ -195,6 +197,21 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
     return docs.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, codes binary, known_sum double, rest_sum double, n_known long, rare array<binary>")
 
 
+def even_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """:func:`slices` that go on across batches: a small remainder takes nearly as many steps as a full slice."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, column, most_bytes // 16):
+        more = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size + more > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Hmm:
     """Start, transition and emission probabilities (states x classes)."""
@@ -320,32 +337,25 @@ def maximise(starts: np.ndarray, pairs: np.ndarray, emits: np.ndarray, unigram:
 
 def log10_likelihood(hmm: Hmm, codes: list[bytes]) -> np.ndarray:
     """Log10 probability of whole class sequences, by the scaled forward recursion in double precision."""
-    seqs = [np.frombuffer(c, dtype="<u2") for c in codes]
-    lengths = np.array([len(s) for s in seqs])
+    lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
     order = np.argsort(-lengths, kind="stable")
     n = lengths[order]
-    flat = np.concatenate(seqs)
+    flat = np.frombuffer(b"".join(codes), dtype="<u2")
     begin = (np.cumsum(lengths) - lengths)[order]
     emit, back = np.ascontiguousarray(hmm.emit), np.ascontiguousarray(hmm.move.T)  # states x texts, so that every step runs along the texts
     live = [*np.searchsorted(-n, -np.arange(n[0]), side="left").tolist(), 0]
-    total = np.zeros(len(seqs))
-    product = np.ones(len(seqs))
+    total = np.zeros(len(codes))
     now = hmm.start[:, None]
     for t in range(int(n[0])):
-        m = live[t]
-        e = emit.take(flat[begin[:m] + t], axis=1, mode="clip")
+        m, after = live[t], live[t + 1]
+        e = emit.take(flat[t:].take(begin[:m], mode="clip"), axis=1, mode="clip")
         now = now * e if t == 0 else np.multiply(back @ now[:, :m], e, out=e)
-        scale = now.sum(axis=0)
-        now /= scale
-        product[:m] *= scale
-        if t % 16 == 15:  # logarithms of sixteen scales at a time
-            total[:m] += np.log10(product[:m])
-            product[:m] = 1.0
-        if live[t + 1] < m:
-            done = slice(live[t + 1], m)
-            total[done] += np.log10(product[done])
-            product[done] = 1.0
-    out = np.empty(len(seqs))
+        since = 0 if t % APART == APART - 1 else after  # texts from here on are scaled
+        if since < m:
+            scale = now[:, since:].sum(axis=0)
+            now[:, since:] /= scale
+            total[since:m] += np.log10(scale)
+    out = np.empty(len(codes))
     out[order] = total
     return out
 
@@ -386,7 +396,7 @@ def train(coded: DataFrame, classes: Classes, states: int, rounds: int, prior: f
 
         def run(batches: Iterator[pa.RecordBatch], now: Hmm = now) -> Iterator[pa.RecordBatch]:
             sums, room = [np.zeros(s) for s in shapes], Room()
-            for batch in slices(batches, "codes", 1 << 20):  # larger ones leave a core's cache
+            for batch in even_slices(batches, "codes", 3 << 19):  # larger ones leave a core's cache
                 flat, *cut = stretches(batch.column("codes").to_pylist(), batch.column("times").to_pylist())
                 for at in range(0, len(cut[0]), AT_ONCE):
                     for total, more in zip(sums, expected(now, flat, *(x[at : at + AT_ONCE] for x in cut), room), strict=True):
@@ -446,7 +456,7 @@ def score(
     hmm = train(coded.where(~F.col("held_out")).select("row", "codes"), classes, states, first_rounds + rounds, prior, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "codes", 8 << 20):  # of many texts, as a step costs nearly the same for few
+        for batch in even_slices(batches, "codes", 8 << 20):  # of many texts, as a step costs nearly the same for few
             got = pa.array(log10_likelihood(hmm, batch.column("codes").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "held_out", "n_tokens", "known_sum", "rest_sum", "n_known")), got], names=["row", "id", "held_out", "n_tokens", "known_sum", "rest_sum", "n_known", "path"])
 

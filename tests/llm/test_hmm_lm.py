@@ -253,3 +253,29 @@ def test_training_works_on_copies_once(spark, monkeypatch):
     for _ in range(3):
         want = hmm_lm.maximise(*hmm_lm.expected(want, *hmm_lm.stretches(codes)), unigram, 20.0)
     assert np.allclose(got.emit, want.emit, rtol=1e-3, atol=1e-7) and np.allclose(got.move, want.move, rtol=1e-3, atol=1e-7)
+
+
+def test_even_slices_go_on_across_batches():
+    """All rows in order, in slices that are about full, whatever the batches; a row is never cut."""
+    sizes = [3, 0, 40, 100, 7, 5_000, 1, *[50] * 300]
+    rows = [bytes([i % 250]) * n for i, n in enumerate(sizes)]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + step], pa.binary())], names=["codes"]) for i in range(0, len(rows), step)]
+        got = [x.column("codes").to_pylist() for x in hmm_lm.even_slices(batches, "codes", 1600)]
+        assert [r for x in got for r in x] == rows
+        full = [sum(map(len, x)) for x in got]
+        assert all(n <= 1600 or len(x) == 1 for n, x in zip(full, got, strict=True)) and min(full[3:-1]) >= 1450
+    assert list(hmm_lm.even_slices([], "codes", 10)) == []
+
+
+def test_scores_of_rare_classes_stay_in_range():
+    """Texts of classes as improbable as a prior count in a billion tokens, scaled at every APART-th step."""
+    emit = np.array([[1 - 2e-18, 2e-18], [1 - 1e-18, 1e-18]])
+    h = hmm_lm.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), emit)
+    codes = [np.ones(n, "<u2").tobytes() for n in (1, 7, 8, 9, 500)]
+    got = hmm_lm.log10_likelihood(h, codes)
+    for x, y in zip(got, codes, strict=True):
+        a = np.log(h.start) + np.log(emit[:, 1])
+        for _ in range(len(y) // 2 - 1):
+            a = np.logaddexp.reduce(a[:, None] + np.log(h.move), axis=0) + np.log(emit[:, 1])
+        assert np.isclose(x, np.logaddexp.reduce(a) / np.log(10), rtol=1e-12)
