@@ -222,20 +222,20 @@ class Hmm:
 
 
 def stretches(codes: list[bytes], times: list[int] | None = None) -> tuple[np.ndarray, ...]:
-    """Sequences, which occur ``times`` times each, cut into stretches of classes.
+    """Sequences, which occur ``times`` times each, cut into stretches of STRETCH classes.
 
     All classes one after the other; of each stretch where it begins in them, its
-    length, where in it its own part begins and ends, and how often it occurs. A stretch
-    has LEAD classes more on each side, as far as the text goes, so that the messages
-    that reach its own part have forgotten where they began.
+    length, how many classes are read after it, whether it begins a text, and how often
+    it occurs. LEAD classes more are read on each side, as far as the text goes, so that
+    the messages that reach a stretch have forgotten where they began.
     """
     sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 2
     number = -(-sizes // STRETCH)
     own = STRETCH * (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
-    size = np.repeat(sizes, number)
-    begin, end = np.maximum(own - LEAD, 0), np.minimum(own + STRETCH + LEAD, size)
-    at = np.repeat(np.cumsum(sizes) - sizes, number) + begin
-    return np.frombuffer(b"".join(codes), dtype="<u2"), at, end - begin, own - begin, np.minimum(own + STRETCH, size) - begin, np.repeat(np.asarray(times or [1] * len(codes), np.float32), number)
+    left = np.repeat(sizes, number) - own
+    lengths = np.minimum(left, STRETCH)
+    at = np.repeat(np.cumsum(sizes) - sizes, number) + own
+    return np.frombuffer(b"".join(codes), dtype="<u2"), at, lengths, np.minimum(left - lengths, LEAD), own == 0, np.repeat(np.asarray(times or [1] * len(codes), np.float32), number)
 
 
 class Room(dict[str, np.ndarray]):
@@ -248,53 +248,78 @@ class Room(dict[str, np.ndarray]):
 
 
 def expected(
-    hmm: Hmm, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray, room: Room | None = None
+    hmm: Hmm, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray, more: np.ndarray, heads: np.ndarray, times: np.ndarray, room: Room | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, transitions and emissions of stretches, by scaled forward-backward.
 
-    What lies in ``low`` .. ``high`` of a stretch is counted ``times`` times, so each
-    token and each transition of a text counts once, and starts where a text starts. Texts of one
-    stretch have exact counts. Later stretches begin from the chain's stationary
-    distribution, and all but the last end without knowing what follows, LEAD tokens
-    away. Arrays are states x stretches, so that every step runs along the stretches.
+    Each token and each transition of a text counts once, times ``times``, and starts
+    where a text starts. Texts of one stretch have exact counts. Later stretches begin
+    LEAD tokens before from the chain's stationary distribution, and all but the last
+    end without knowing what follows, ``more`` tokens away: forward messages are passed
+    up to a stretch and through it, backward ones down to its end and through it.
+    Arrays are states x stretches, so that every step runs along the stretches.
 
     Emissions are taken relative to the largest of each class, which leaves all
     expectations as they are and messages near 1; these are scaled at every
-    ``SCALED``-th step. Those backwards begin as ``times`` over the sum of those
-    forwards, so that posteriors add up to ``times``. Posteriors are added up by class
-    whenever some ``COUNTED`` tokens have theirs, while these are in a core's cache.
+    ``SCALED``-th step. Those backwards begin in a stretch so that posteriors add up to
+    ``times``. Posteriors are added up by class whenever some ``COUNTED`` tokens have
+    theirs, while these are in a core's cache.
     """
     room = Room() if room is None else room
     k, c = hmm.emit.shape
-    order = np.argsort(-lengths, kind="stable")
-    at, lengths, low, high, times = at[order], lengths[order], low[order], high[order], times[order]
-    steps = int(lengths[0])
+    order = np.argsort(-(lengths + more), kind="stable")  # those with more are whole, so lengths descend, too
+    at, lengths, more, heads, times = at[order], lengths[order], more[order], heads[order], times[order]
+    steps, number = int(lengths[0]), len(at)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
     begin = np.r_[0, np.cumsum(live)].tolist()
     live = [*live.tolist(), 0]
+    beyond = [*np.searchsorted(-more, -np.arange(int(more[0])), side="left").tolist(), 0]  # stretches with more than so many
     emit = np.ascontiguousarray(hmm.emit / np.maximum(hmm.emit.max(axis=0), 1e-300), dtype=np.float32)
     move = hmm.move.astype(np.float32)
     back = np.ascontiguousarray(move.T)
-    heads = low == 0
-    now = np.where(heads, hmm.start[:, None], np.linalg.matrix_power(hmm.move, 64).mean(axis=0)[:, None]).astype(np.float32)
     where, held = room.take("where", begin[-1], np.intp), room.take("held", k * begin[-1])
-    emitted, moved = room.take("emitted", k * live[0]), room.take("moved", k * live[0])
+    emitted, moved = room.take("emitted", k * number), room.take("moved", k * number)
+
+    def emissions(classes: np.ndarray) -> np.ndarray:
+        return emit.take(classes, axis=1, mode="clip", out=emitted[: k * len(classes)].reshape(k, len(classes)))
+
+    now = np.empty((k, number), dtype=np.float32)
+    now[:, heads] = hmm.start.astype(np.float32)[:, None]
+    later = np.flatnonzero(~heads)
+    if len(later):
+        before = np.repeat(np.linalg.matrix_power(hmm.move, 64).mean(axis=0).astype(np.float32)[:, None], len(later), axis=1)
+        for t in range(LEAD):
+            before *= emissions(flat.take(at[later] + (t - LEAD)))
+            if t % SCALED == SCALED - 1:
+                before /= before.sum(axis=0)
+            before = back @ before
+        now[:, later] = before
     scales = {}
     for t in range(steps):
         m, here = live[t], slice(begin[t], begin[t + 1])
         where[here] = flat[t:].take(at[:m], mode="clip")
-        e = emit.take(where[here], axis=1, mode="clip", out=emitted[: k * m].reshape(k, m))
+        e = emissions(where[here])
         if t:
             now = np.matmul(back, now[:, :m], out=moved[: k * m].reshape(k, m))
         now = np.multiply(now, e, out=held[k * here.start : k * here.stop].reshape(k, m))
         if t % SCALED == SCALED - 1:
             scales[t] = 1 / now.sum(axis=0)
             now *= scales[t]
-        if live[t + 1] < m:
-            times[live[t + 1] : m] /= now[:, live[t + 1] :].sum(axis=0)
+        ends = max(live[t + 1], beyond[0])
+        if ends < m:
+            times[ends:m] /= now[:, ends:].sum(axis=0)
+    after = np.ones((k, 0), dtype=np.float32)  # emissions times backward messages of the tokens that follow
+    for t in range(len(beyond) - 2, -1, -1):
+        beta = np.ones((k, beyond[t]), dtype=np.float32)
+        beta[:, : beyond[t + 1]] = move @ after
+        if t % SCALED == SCALED - 1:
+            beta /= beta.sum(axis=0)
+        after = beta * emissions(flat.take(at[: beyond[t]] + (STRETCH + t)))
+    if beyond[0]:
+        after *= times[: beyond[0]] / (now[:, : beyond[0]] * (move @ after)).sum(axis=0)
     pairs = np.zeros((k, k), dtype=np.float64)
     emits = np.zeros((k, c))
-    most = max(COUNTED, live[0])
+    most = max(COUNTED, number)
     posterior = room.take("posterior", k * most).reshape(k, most)  # filled from the right, by tokens first .. last
     first = last = begin[-1]
 
@@ -303,20 +328,19 @@ def expected(
             emits[j] += np.bincount(where[first:last], weights=posterior[j, most - (last - first) :], minlength=c)
 
     for t in range(steps - 1, -1, -1):
-        m, after, here = live[t], live[t + 1], slice(begin[t], begin[t + 1])
+        m, here = live[t], slice(begin[t], begin[t + 1])
         alpha = held[k * here.start : k * here.stop].reshape(k, m)
-        if t < LEAD or t >= STRETCH:  # elsewhere all is the stretch's own
-            alpha *= ((low[:m] <= t) & (t < high[:m])).astype(np.float32)
-        if after:
-            ahead = emit.take(where[begin[t + 1] : begin[t + 2]], axis=1, mode="clip", out=emitted[: k * after].reshape(k, after))
-            ahead *= beta
+        if t < steps - 1:
+            after = emissions(where[begin[t + 1] : begin[t + 2]])
+            after *= beta
             if t + 1 in scales:
-                ahead *= scales[t + 1]
-            pairs += alpha[:, :after] @ ahead.T
+                after *= scales[t + 1]
+        goes_on = after.shape[1]
         beta = moved[: k * m].reshape(k, m)
-        if after:
-            np.matmul(move, ahead, out=beta[:, :after])
-        beta[:, after:] = times[after:m]
+        if goes_on:
+            pairs += alpha[:, :goes_on] @ after.T
+            np.matmul(move, after, out=beta[:, :goes_on])
+        beta[:, goes_on:] = times[goes_on:m]
         if last - here.start > most:
             count()
             last = first

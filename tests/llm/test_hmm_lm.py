@@ -279,3 +279,19 @@ def test_scores_of_rare_classes_stay_in_range():
         for _ in range(len(y) // 2 - 1):
             a = np.logaddexp.reduce(a[:, None] + np.log(h.move), axis=0) + np.log(emit[:, 1])
         assert np.isclose(x, np.logaddexp.reduce(a) / np.log(10), rtol=1e-12)
+
+
+def test_stretches_among_texts_of_all_lengths(monkeypatch):
+    """What is read before and after a stretch reaches it as if the text were whole, for ends of all lengths and with copies."""
+    rng = np.random.default_rng(8)
+    h = hmm_lm.Hmm(np.array([0.9, 0.1, 0.0]), np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]]), rng.dirichlet(np.ones(12), 3))
+    sizes = [1, 24, 255, 256, *range(257, 300, 3), 511, 512, 513, 530, 540, 768, 769, 2000]
+    codes, times = [rng.integers(0, 12, n).astype("<u2").tobytes() for n in sizes], [1 + i % 5 for i in range(len(sizes))]
+    flat, *cut = hmm_lm.stretches(codes, times)
+    total = int(np.dot(sizes, times))
+    assert int((cut[1] * cut[4]).sum()) == total and (cut[2] <= hmm_lm.LEAD).all() and ((cut[2] == 0) | (cut[1] == hmm_lm.STRETCH)).all()
+    got = hmm_lm.expected(h, flat, *cut)
+    monkeypatch.setattr(hmm_lm, "STRETCH", 10_000)
+    for a, b in zip(got, hmm_lm.expected(h, *hmm_lm.stretches(codes, times)), strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+    assert np.isclose(got[2].sum(), total, rtol=1e-5) and np.isclose(got[1].sum(), total - sum(times), rtol=1e-5)
