@@ -156,7 +156,7 @@ def classify(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cl = shared.value
-        known, shared_class = pa.array(cl.known, pa.binary()), Endings(cl).__getitem__
+        known, shared_class = pa.array(list(cl.known), pa.binary()), Endings(cl).__getitem__
 
         def shared_classes(words: pa.Array) -> np.ndarray:
             ending = pc.binary_slice(words, -3).dictionary_encode()
